@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from waygraph.llm import hilbert, secrets
+from waygraph.llm import hilbert, pii, secrets
 
 
 def queries() -> dict:
     return {
         "op4_secret_ownership": secrets.op4_secret_ownership,
         "op6_hilbert_sharding": hilbert.op6_hilbert_sharding,
+        "op7_pii_boosting": pii.op7_pii_boosting,
         "pipeline": corpus_pipeline.run,
     }
 
