@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from waygraph.llm import hilbert, pii, secrets
+from waygraph.llm import bpe, hilbert, pii, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_secret_ownership": secrets.op4_secret_ownership,
         "op6_hilbert_sharding": hilbert.op6_hilbert_sharding,
         "op7_pii_boosting": pii.op7_pii_boosting,
+        "op8_bpe_automaton": bpe.op8_bpe_automaton,
         "pipeline": corpus_pipeline.run,
     }
 
