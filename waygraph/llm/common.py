@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waygraph.plans.storage import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a test on one machine) gets a folder of
-    its own.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="waygraph-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["joined", "matches", "only", "shared_dir", "stored"]
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from waygraph.llm import bpe, hilbert, pii, secrets
+from waygraph.llm import bpe, hilbert, pii, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_simhash_pigeonhole": simhash.op2_simhash_pigeonhole,
         "op4_secret_ownership": secrets.op4_secret_ownership,
         "op6_hilbert_sharding": hilbert.op6_hilbert_sharding,
         "op7_pii_boosting": pii.op7_pii_boosting,
