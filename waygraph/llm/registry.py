@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from waygraph.llm import bpe, hilbert, pii, secrets, simhash
+from waygraph.llm import bpe, hilbert, pii, secrets, simhash, suffix_dedup, topk
 
 
 def queries() -> dict:
     return {
+        "op1_bwt_merge_dedup": suffix_dedup.op1_bwt_merge_dedup,
         "op2_simhash_pigeonhole": simhash.op2_simhash_pigeonhole,
         "op4_secret_ownership": secrets.op4_secret_ownership,
+        "op5_histogram_topk": topk.op5_histogram_topk,
         "op6_hilbert_sharding": hilbert.op6_hilbert_sharding,
         "op7_pii_boosting": pii.op7_pii_boosting,
         "op8_bpe_automaton": bpe.op8_bpe_automaton,
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_histogram_topk": topk.ORACLE}
