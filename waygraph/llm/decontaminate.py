@@ -197,9 +197,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = GRAM, similarit
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item, with their columns."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")).distinct()
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_wg_doc"), F.col("tkey").alias("_wg_key")).distinct()
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (key == bad["_tkey"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_wg_doc"]) & (key == bad["_wg_key"]), "left_anti")
 
 
 def op9_rare_seed_alignment(spark, sf_dir: str) -> DataFrame:

@@ -149,23 +149,24 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with live spans replaced by ``mark``; n_chars follows. All rows stay."""
     todo = scanned.select(
-        F.col("doc_id").alias("_doc"),
-        F.col("tkey").alias("_tkey"),
-        F.array_sort(F.transform(F.filter("verdicts", lambda v: v["live"]), lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end")))).alias("_cut"),
-    ).where(F.size("_cut") > 0).dropDuplicates(["_doc", "_tkey"])
-    text = F.coalesce(F.col("text"), F.lit(""))
+        F.col("doc_id").alias("_wg_doc"),
+        F.col("tkey").alias("_wg_key"),
+        F.array_sort(F.transform(F.filter("verdicts", lambda v: v["live"]), lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end")))).alias("_wg_cut"),
+    ).where(F.size("_wg_cut") > 0).dropDuplicates(["_wg_doc", "_wg_key"])
+    text = F.col("text")
     cut = F.aggregate(
-        "_cut",
+        "_wg_cut",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))),
+        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
     )
-    both = docs.withColumn("_tkey", F.xxhash64(text)).join(todo, (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (docs["text"].isNotNull()) & (F.col("_tkey") == todo["_tkey"]), "left")
-    fresh = F.when(F.col("_cut").isNotNull(), cut).otherwise(F.col("text"))
-    return both.select(*[fresh.alias("text") if c == "text" else F.when(F.col("_cut").isNotNull(), F.length(cut).cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    same = F.col("doc_id").eqNullSafe(F.col("_wg_doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_wg_key"))
+    both = docs.join(todo, same, "left").withColumn("_wg_text", F.when(F.col("_wg_cut").isNotNull(), cut).otherwise(text))
+    fresh = {"text": F.col("_wg_text").alias("text"), "n_chars": F.when(F.col("_wg_cut").isNotNull(), F.length("_wg_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
+    return both.select(*[fresh.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def op4_secret_ownership(spark, sf_dir: str) -> DataFrame:

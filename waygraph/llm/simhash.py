@@ -27,17 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waygraph.llm.common import only, stored
-from waygraph.operators.graph import connected_components
+from waygraph.operators.graph import canonical, connected_components
 
 BITS, SEED = 64, 42
 GROUP = 8192
 SMALL = 16
+SKETCH = 256
 #: Seconds for a compared pair and for a probe key, roughly; only their ratio matters.
 PAIR_COST, KEY_COST = 4e-9, 2e-6
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Bit i is 1 if it is set in over half the shingles' XXH64 (repeats included)."""
+def fingerprint(text: str | None, width: int = 3, once: bool = False) -> int:
+    """Bit i is 1 if it is set in over half the shingles' XXH64 (repeats included; not if ``once``)."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both: ASCII only
     if not words:
         return 0
@@ -48,6 +49,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     starts = np.concatenate(([0], ends[:-1])).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=False)], np.uint64)
+    hashes = np.unique(hashes) if once else hashes
     half = len(hashes)
     count = np.zeros(BITS, np.int64)
     for at in range(0, half, 1 << 16):  # 64 bytes a shingle
@@ -56,15 +58,54 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(count * 2 > half, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def sketch(text: str | None, width: int = 5, bins: int = SKETCH) -> bytes:
+    """One-permutation min-hash of the shingle set: a byte a bin, 0 where no shingle falls."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(bins)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        h = np.array([digest(b" ".join(words), SEED)], np.uint64)
+    else:
+        line = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate(([0], ends[:-1])).tolist()
+        h = np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=False)], np.uint64)
+    h.sort()  # the top byte is the bin, so the first of a bin is its least
+    top = (h >> np.uint64(56)).astype(np.int64) % bins
+    at = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+    out = np.zeros(bins, np.uint8)
+    out[top[at]] = (h[at] % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimates from rows of two sketch matrices; two empty sets are alike."""
+    either = ((a > 0) | (b > 0)).sum(axis=1)
+    equal = ((a == b) & (a > 0)).sum(axis=1)
+    return np.where(either == 0, 1.0, equal / np.maximum(either, 1))
+
+
+def fingerprints(docs: DataFrame, width: int = 3, verify: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and node, what counts as one text.
+
+    Without ``verify`` a node is a fingerprint; with it shingles count once in the
+    fingerprint, and a node is a fingerprint with a sketch.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), width) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), width, verify) for t in batch.column("text")], np.uint64).view(np.int64)
+            cols, names = [batch.column("doc_id").cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"]
+            if verify:
+                marks = [sketch(t.as_py()) for t in batch.column("text")]
+                node = np.array([xxhash.xxh3_64_intdigest(m, f & 0xFFFFFFFF) for m, f in zip(marks, fps.tolist(), strict=True)], np.uint64).view(np.int64)
+                cols, names = [*cols, pa.array(node), pa.array(marks, pa.binary())], [*names, "node", "sketch"]
+            else:
+                cols, names = [*cols, pa.array(fps)], [*names, "node"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long, node long" + ", sketch binary" * verify)
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -205,27 +246,37 @@ def choose(fps: DataFrame, tau: int) -> tuple[list[list[int]], list[int]]:
 
 
 def probe_keys(fps: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(fp, probe, value): each part's value with each choice of left-out bits."""
+    """(fp, node, probe, value): each part's value with each choice of left-out bits."""
     probes = [[b for b in part if b not in out] for part, t in zip(parts, thresholds, strict=True) if t >= 0 for out in combinations(part, t)]
 
     def run(batches):
         for batch in batches:
-            fp = batch.column("fp").to_numpy()
+            fp, node = batch.column("fp").to_numpy(), batch.column("node").to_numpy()
             for at in range(0, len(fp), 1 << 14):
-                block = fp[at : at + (1 << 14)]
+                block, own = fp[at : at + (1 << 14)], pa.array(node[at : at + (1 << 14)])
                 bits = _bits(block)
                 for k, part in enumerate(probes):
-                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.full(len(block), k, np.int32)), pa.array(_value(bits, part))], names=["fp", "probe", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(block), own, pa.array(np.full(len(block), k, np.int32)), pa.array(_value(bits, part))], names=["fp", "node", "probe", "value"])
+
+    return fps.select("fp", "node").mapInArrow(run, "fp long, node long, probe int, value long")
 
-    return fps.select("fp").mapInArrow(run, "fp long, probe int, value long")
 
+def _forest(fp: np.ndarray, block: np.ndarray, tau: int, nearest: bool) -> tuple[list[int], list[int]]:
+    """Links that connect what is connected in a group; blocks differ: only across them.
 
-def _forest(fp: np.ndarray, block: np.ndarray, tau: int) -> tuple[list[int], list[int]]:
-    """Links that connect what is connected in a group; blocks differ: only across them."""
+    ``nearest``: also each member's link to its nearest one.
+    """
     label = np.arange(len(fp))
-    across = block[0] != block[-1] or (block != block[0]).any()
+    across = (block != block[0]).any()
     a, b = [], []
-    for i in range(len(fp) - 1):
+    for i in range(len(fp)):
+        if nearest:
+            far = np.bitwise_count(fp[i] ^ fp).astype(np.int64)
+            far[(block == block[i]) if across else i] = 255
+            if (least := int(far.min())) <= tau:
+                a.append(i)
+                b.append(int(far.argmin()))
+
         near = np.bitwise_count(fp[i] ^ fp[i + 1 :]) <= tau
         if across:
             near &= block[i + 1 :] != block[i]
@@ -239,46 +290,47 @@ def _forest(fp: np.ndarray, block: np.ndarray, tau: int) -> tuple[list[int], lis
     return a, b
 
 
-def links(keys: DataFrame, tau: int, group: int = GROUP) -> DataFrame:
-    """Verified links (u, v) of fingerprints that share a probe key.
+def links(keys: DataFrame, tau: int, group: int = GROUP, nearest: bool = False) -> DataFrame:
+    """Links (u, v) of nodes that share a probe key and differ in at most ``tau`` bits.
 
-    Small groups give all their links, larger ones a spanning forest of them.
+    Small groups give all their links, larger ones a spanning forest of them and, with
+    ``nearest``, each node's link to its nearest one.
     """
     sizes = keys.groupBy("probe", "value").agg(F.count("*").alias("n")).where(F.col("n") > group)
     blocks = F.coalesce(F.ceil(F.col("n") / F.lit(group / 2)).cast("int"), F.lit(1))
     dealt = (
         keys.join(sizes, ["probe", "value"], "left")
         .withColumn("k", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         # each two blocks meet, and each block meets itself
-        .select("fp", "block", F.xxhash64("probe", "value", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
+        .select("fp", "node", "block", F.xxhash64("probe", "value", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
     )
 
-    def flush(key, fp, block):
+    def flush(key, fp, node, block):
         if not len(key):
             return None
         u, v = [], []
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         size = np.diff(cut)
         few = np.repeat(size <= SMALL, size)
-        k, f = key[few], fp[few]
+        k, f, n = key[few], fp[few], node[few]
         for o in range(1, min(SMALL, len(k))):
             hit = (k[o:] == k[:-o]) & (np.bitwise_count(f[o:] ^ f[:-o]) <= tau)
-            u.append(f[o:][hit])
-            v.append(f[:-o][hit])
-        for at, n in zip(cut[:-1][size > SMALL], size[size > SMALL], strict=True):
-            own = fp[at : at + n]
-            a, b = _forest(own, block[at : at + n], tau)
-            u.append(own[a])
-            v.append(own[b])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (u, v))
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+            u.append(n[o:][hit])
+            v.append(n[:-o][hit])
+        for at, count in zip(cut[:-1][size > SMALL], size[size > SMALL], strict=True):
+            own = slice(at, at + count)
+            a, b = _forest(fp[own], block[own], tau, nearest)
+            u.append(node[own][a])
+            v.append(node[own][b])
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+        return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64))], names=["u", "v"])
 
     def run(batches):
-        rest = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        rest = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         for batch in batches:
-            cols = (batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("block").to_numpy())
+            cols = (batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy(), batch.column("block").to_numpy())
             cols = tuple(np.concatenate(x) for x in zip(rest, cols, strict=True))
             last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last group may go on
             if last:
@@ -290,16 +342,51 @@ def links(keys: DataFrame, tau: int, group: int = GROUP) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
-def components(docs: DataFrame, tau: int = 3, width: int = 3) -> DataFrame:
-    """doc_id, fp and component_id (least doc_id reachable over links) for every row."""
-    rows = stored(fingerprints(docs, width), "simhash")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    parts, thresholds = choose(distinct, tau)
-    found = connected_components(links(probe_keys(distinct, parts, thresholds), tau))
-    named = distinct.join(found, distinct["fp"] == found["id"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+def alike(found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links whose ends' sketches estimate a Jaccard similarity of at least ``similarity``."""
+    a = nodes.select(F.col("node").alias("u"), F.col("sketch").alias("su"))
+    b = nodes.select(F.col("node").alias("v"), F.col("sketch").alias("sv"))
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("su", "sv"))
+            good = pa.array(jaccard(x, y) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(good), batch.column("v").filter(good)], names=["u", "v"])
+
+    return canonical(found).join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+
+
+def components(docs: DataFrame, tau: int = 3, width: int = 3, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp and component_id (least doc_id reachable over links) for every row.
+
+    ``similarity``: links also need this Jaccard similarity of their texts' five-word
+    shingle sets, as estimated by sketches (standard error under 0.03).
+    """
+    verify = similarity is not None
+    rows = stored(fingerprints(docs, width, verify), "simhash")
+    extra = [F.first("sketch").alias("sketch")] if verify else []
+    nodes = stored(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), *extra), "simhash-nodes")
+    parts, thresholds = choose(nodes, tau)
+    near = links(probe_keys(nodes, parts, thresholds), tau, nearest=verify)
+    if verify:
+        near = alike(stored(near.distinct(), "simhash-links"), nodes, similarity)
+    found = connected_components(near)
+    named = nodes.join(found, nodes["node"] == found["id"], "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = stored(named.join(roots, "root").select("fp", "component_id"), "simhash-components")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_node = stored(named.join(roots, "root").select("node", "component_id"), "simhash-components")
+    return rows.join(by_node, "node").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, tau: int = 10, width: int = 2, similarity: float = 0.75) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of least doc_id.
+
+    The default links texts of 0.8 or more; 0.05 is for the sketch's error. Rows without
+    doc_id stay only where their whole group has none.
+    """
+    kept = components(docs, tau, width, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_wg_doc")).distinct()
+    some = docs.where("doc_id IS NOT NULL").join(kept, docs["doc_id"] == kept["_wg_doc"], "left_semi").dropDuplicates(["doc_id"])
+    none = docs.where("doc_id IS NULL").join(kept.where("_wg_doc IS NULL").limit(1), F.lit(True), "left_semi")
+    return some.unionByName(none)
 
 
 def op2_simhash_pigeonhole(spark, sf_dir: str) -> DataFrame:
