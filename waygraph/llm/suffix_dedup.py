@@ -36,7 +36,8 @@ from waygraph.llm.common import only, stored
 
 LENGTH, GRAM = 400, 32
 CHUNK = 2 << 20
-HOT = 2048
+#: Surroundings of one gram that a task still merges: about 20 MB of text.
+HOT = 32768
 SHARD = 1024
 #: Bytes of surroundings that a task merges at once.
 MERGE_BYTES = 4 << 20
