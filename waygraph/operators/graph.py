@@ -42,3 +42,63 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
         last = now
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """The directed view: each edge in both directions (other columns stay)."""
+    rest = [c for c in edges.columns if c not in ("u", "v")]
+    return edges.select("u", "v", *rest).unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *rest))
+
+
+def degree(edges: DataFrame) -> DataFrame:
+    """(n, degree); a loop counts once."""
+    ends = F.when(F.col("u") == F.col("v"), F.array("u")).otherwise(F.array("u", "v"))
+    return edges.select(F.explode(ends).alias("n")).groupBy("n").agg(F.count("*").alias("degree"))
+
+
+def dense_ids(nodes: DataFrame, id_: str) -> DataFrame:
+    """``nodes`` with new, an id from 0 without gaps in the order of ``id_``.
+
+    Counts by range partition give each partition's first id, so that no task sees all.
+    """
+    parts = nodes.select(id_).distinct().repartitionByRange(id_).sortWithinPartitions(id_).withColumn("_p", F.spark_partition_id())
+    parts = stored(parts, "ids")
+    from pyspark.sql import Window
+
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
+    starts = sizes.withColumn("_at", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_at")  # a row a partition
+    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(id_)))
+    return ranked.join(F.broadcast(starts), "_p").select(id_, (F.col("_at") + F.col("_r") - 1).alias("new"))
+
+
+def hops(edges: DataFrame, start: DataFrame, depth: int, stop: DataFrame | None = None) -> DataFrame:
+    """(source, n, hop): nodes within ``depth`` edges of each source, at their least hop.
+
+    ``start`` has source; a node of ``stop`` (column n) is reached but not gone through.
+    """
+    two = both_ways(edges.select("u", "v"))
+    seen = start.select("source", F.col("source").alias("n"), F.lit(0).alias("hop"))
+    for d in range(1, depth + 1):
+        edge = seen.where(F.col("hop") == d - 1)
+        if stop is not None:
+            edge = edge.join(stop, "n", "left_anti") if d > 1 else edge
+        step = edge.join(two.withColumnRenamed("u", "n"), "n").select("source", F.col("v").alias("n"), F.lit(d).alias("hop"))
+        seen = seen.unionByName(step).groupBy("source", "n").agg(F.min("hop").alias("hop"))
+    return seen
+
+
+def large_components(edges: DataFrame, least: int = 3) -> DataFrame:
+    """Edges of components with at least ``least`` edges."""
+    label = connected_components(edges).select(F.col("id").alias("u"), "component")
+    own = edges.join(label, "u")
+    big = own.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("component")
+    return own.join(big, "component", "left_semi").select(*edges.columns)
+
+
+def split_edges(edges: DataFrame, spacing: float) -> DataFrame:
+    """(u, v, piece, x, y): points along edges (x1, y1, x2, y2) cut in equal pieces of at most ``spacing``."""
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), F.lit(2)) + F.pow(F.col("y2") - F.col("y1"), F.lit(2)))
+    n = F.greatest(F.lit(1), F.ceil(length / F.lit(float(spacing))).cast("int"))
+    cut = edges.withColumn("_n", n).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    t = F.col("piece") / F.col("_n")
+    return cut.select("u", "v", "piece", (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
