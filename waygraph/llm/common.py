@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waygraph.plans.storage import shared_dir, stored
 
-__all__ = ["joined", "matches", "only", "shared_dir", "stored"]
+__all__ = ["free", "joined", "matches", "only", "shared_dir", "stored"]
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -15,6 +15,17 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until ``df`` has no such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def matches(text: Column, pattern: str, groups: int = 0, likely: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as array<struct<start,end,body>>, JVM only.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import only, stored
+from waygraph.llm.common import free, only, stored
 
 WORD = re.compile(r"\w+")
 GRAM = 3
@@ -197,9 +197,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = GRAM, similarit
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item, with their columns."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_wg_doc"), F.col("tkey").alias("_wg_key")).distinct()
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_wg_doc"]) & (key == bad["_wg_key"]), "left_anti")
+    doc, key = free(docs, "doc_", "key_")
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias(doc), F.col("tkey").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key)), "left_anti")
 
 
 def op9_rare_seed_alignment(spark, sf_dir: str) -> DataFrame:

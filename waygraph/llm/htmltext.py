@@ -55,7 +55,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     at, n, last = 0, len(page), page.rfind(">")
     while at < n:
         lt = page.find("<", at)
-        if lt < 0 or lt > last:
+        if lt < 0:
             yield "text", "", page[at:]
             return
         if lt > at:
@@ -73,6 +73,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "text", "", "<"
                 at = lt + 1
             continue
+        if lt > last:  # the page ends within a tag
+            return
         end = TAG_END.match(page, name.end())
         stop = end.end() if end else page.find(">", name.end()) + 1
         rest, tag = page[name.end() : stop - 1], name[0].lower()

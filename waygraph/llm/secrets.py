@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import joined, matches, only, stored
+from waygraph.llm.common import free, joined, matches, only, stored
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -148,14 +148,15 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with live spans replaced by ``mark``; n_chars follows. All rows stay."""
+    doc, key, cuts, new = free(docs, "doc_", "key_", "cuts_", "new_")
     todo = scanned.select(
-        F.col("doc_id").alias("_wg_doc"),
-        F.col("tkey").alias("_wg_key"),
-        F.array_sort(F.transform(F.filter("verdicts", lambda v: v["live"]), lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end")))).alias("_wg_cut"),
-    ).where(F.size("_wg_cut") > 0).dropDuplicates(["_wg_doc", "_wg_key"])
+        F.col("doc_id").alias(doc),
+        F.col("tkey").alias(key),
+        F.array_sort(F.transform(F.filter("verdicts", lambda v: v["live"]), lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end")))).alias(cuts),
+    ).where(F.size(cuts) > 0).dropDuplicates([doc, key])
     text = F.col("text")
     cut = F.aggregate(
-        "_wg_cut",
+        cuts,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -163,9 +164,9 @@ def redact(docs: DataFrame, scanned: DataFrame, mark: str = "[SECRET]") -> DataF
         ),
         lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_wg_doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_wg_key"))
-    both = docs.join(todo, same, "left").withColumn("_wg_text", F.when(F.col("_wg_cut").isNotNull(), cut).otherwise(text))
-    fresh = {"text": F.col("_wg_text").alias("text"), "n_chars": F.when(F.col("_wg_cut").isNotNull(), F.length("_wg_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(key))
+    both = docs.join(todo, same, "left").withColumn(new, F.when(F.col(cuts).isNotNull(), cut).otherwise(text))
+    fresh = {"text": F.col(new).alias("text"), "n_chars": F.when(F.col(cuts).isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
     return both.select(*[fresh.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import only, stored
+from waygraph.llm.common import free, only, stored
 from waygraph.operators.graph import canonical, connected_components
 
 BITS, SEED = 64, 42
@@ -383,9 +383,10 @@ def one_of_each(docs: DataFrame, tau: int = 10, width: int = 2, similarity: floa
     The default links texts of 0.8 or more; 0.05 is for the sketch's error. Rows without
     doc_id stay only where their whole group has none.
     """
-    kept = components(docs, tau, width, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_wg_doc")).distinct()
-    some = docs.where("doc_id IS NOT NULL").join(kept, docs["doc_id"] == kept["_wg_doc"], "left_semi").dropDuplicates(["doc_id"])
-    none = docs.where("doc_id IS NULL").join(kept.where("_wg_doc IS NULL").limit(1), F.lit(True), "left_semi")
+    (doc,) = free(docs, "doc_")
+    kept = components(docs, tau, width, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(doc)).distinct()
+    some = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(doc), "left_semi").dropDuplicates(["doc_id"])
+    none = docs.where("doc_id IS NULL").join(kept.where(F.col(doc).isNull()).limit(1), F.lit(True), "left_semi")
     return some.unionByName(none)
 
 
