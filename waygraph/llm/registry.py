@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_histogram_topk": topk.ORACLE}
+    return {"op4_secret_ownership": secrets.oracle(), "op5_histogram_topk": topk.ORACLE}

@@ -29,7 +29,7 @@ JWT = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+"
 BASE = ("assign", "access", "hex")
 ADDED = ("vendor", "jwt", "opaque")
-PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|\*\*\*|(.)\1{5}|123456|abcdef"
+PLACEHOLDER = "(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|123456|abcdef|" + "|".join(f"{c}{{6}}" for c in "0123456789abcdefghijklmnopqrstuvwxyz")
 
 
 def _kind(name: str, text: Column, pattern: str, keep, groups: int = 0, likely: Column | None = None) -> Column:
@@ -172,3 +172,35 @@ def redact(docs: DataFrame, scanned: DataFrame, mark: str = "[SECRET]") -> DataF
 
 def op4_secret_ownership(spark, sf_dir: str) -> DataFrame:
     return digest(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _found_sql(kind: str, pattern: str, group: int = 0, keep: str = "TRUE") -> str:
+    pattern = pattern.replace("}+", "}").replace("'", "''")
+    return f"""SELECT rid, '{kind}' AS kind, start, start + length(m) AS end_, body FROM (
+      SELECT rid, ms[i] AS m, bodies[i] AS body, CAST(list_sum(gaps[1:i]) + coalesce(list_sum(lens[1:i - 1]), 0) AS BIGINT) AS start FROM (
+        SELECT rid, ms, bodies, gaps, list_transform(ms, lambda x: length(x)) AS lens, unnest(range(1, len(ms) + 1)) AS i FROM (
+          SELECT rid, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {group}) AS bodies, list_transform(regexp_split_to_array(t, '{pattern}'), lambda x: length(x)) AS gaps
+          FROM d WHERE regexp_matches(t, '{pattern}')))) WHERE {keep}"""
+
+
+def oracle(max_owners: int = 2) -> str:
+    """The same as DuckDB SQL, whose patterns have no look-behind: opaque is cut from whole runs."""
+    mixed = "regexp_matches(body, '[0-9]') AND regexp_matches(body, '[A-Z]') AND regexp_matches(body, '[a-z]')"
+    kinds = ", ".join(f"'{k}'" for k in BASE + ADDED)
+    joined_ = lambda src: f"(SELECT rid, string_agg(kind || ':' || start || ':' || end_, ',' ORDER BY start, list_position([{kinds}], kind), end_) AS j FROM (SELECT DISTINCT rid, kind, start, end_ FROM {src}) GROUP BY rid)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+base AS ({_found_sql("assign", ASSIGN, 1, "length(body) >= 6")} UNION ALL {_found_sql("access", ACCESS)} UNION ALL {_found_sql("hex", HEX)}),
+run AS (SELECT rid, start, string_split(body, '=')[1] AS body FROM ({_found_sql("run", "[A-Za-z0-9+/_=-]{24,}")})),
+more AS ({_found_sql("vendor", VENDOR)} UNION ALL {_found_sql("jwt", JWT)}
+  UNION ALL SELECT rid, 'opaque', start, start + length(body), body FROM run WHERE length(body) >= 24 AND {mixed}),
+own AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = m.rid AND b.start < m.end_ AND m.start < b.end_)),
+freq AS (SELECT body, count(DISTINCT owner) AS owners FROM own JOIN d USING (rid) GROUP BY body),
+verdict AS (SELECT DISTINCT rid, kind, start, end_, owners <= {max_owners} AND regexp_matches(body, '[0-9]') AND regexp_matches(body, '[A-Za-z]') AND len(list_distinct(string_split(body, ''))) >= 8
+  AND NOT regexp_matches(body, '{PLACEHOLDER}') AS live FROM own JOIN freq USING (body)),
+kept AS (SELECT * FROM verdict WHERE live OR kind IN ('assign', 'access', 'hex'))
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.j, '')) AS base_sha256, coalesce(k.j, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_dull, 0) AS n_copied_or_dull
+FROM d LEFT JOIN (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex FROM base GROUP BY rid) USING (rid)
+LEFT JOIN (SELECT rid, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_dull FROM verdict GROUP BY rid) USING (rid)
+LEFT JOIN {joined_("base")} b USING (rid) LEFT JOIN {joined_("kept")} k USING (rid)
+"""
