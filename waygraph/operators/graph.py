@@ -74,14 +74,14 @@ def dense_ids(nodes: DataFrame, id_: str) -> DataFrame:
 def hops(edges: DataFrame, start: DataFrame, depth: int, stop: DataFrame | None = None) -> DataFrame:
     """(source, n, hop): nodes within ``depth`` edges of each source, at their least hop.
 
-    ``start`` has source; a node of ``stop`` (column n) is reached but not gone through.
+    ``start`` has source; a node of ``stop`` (column n) is reached but not gone on from.
     """
     two = both_ways(edges.select("u", "v"))
     seen = start.select("source", F.col("source").alias("n"), F.lit(0).alias("hop"))
     for d in range(1, depth + 1):
         edge = seen.where(F.col("hop") == d - 1)
         if stop is not None:
-            edge = edge.join(stop, "n", "left_anti") if d > 1 else edge
+            edge = edge.join(stop, "n", "left_anti")
         step = edge.join(two.withColumnRenamed("u", "n"), "n").select("source", F.col("v").alias("n"), F.lit(d).alias("hop"))
         seen = seen.unionByName(step).groupBy("source", "n").agg(F.min("hop").alias("hop"))
     return seen

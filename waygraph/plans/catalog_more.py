@@ -77,7 +77,7 @@ def _(spark, sf):
     return g.select("k", F.explode(geo.edge_inclusive(F.col("w"), F.col("p"), F.col("n"), F.col("margin"))).alias("pos"))
 
 
-@query("f05_square_grid")
+@query("f05_square_grid", f"WITH g AS (SELECT *, w - p AS e FROM ({GRID})), a AS ({_edge_sql('w')}) SELECT a.k, a.pos AS x0, b.pos AS y0, a.pos + 256 AS x1, b.pos + 256 AS y1 FROM a JOIN a b ON a.k = b.k")
 def _(spark, sf):
     return patches.grid(_grid(spark, sf), "w", "w")
 
@@ -316,7 +316,7 @@ def _sparse(spark, sf):
     return fx.edges(spark, sf).where("s < 60").select("u", "v")
 
 
-@query("a09_large_components")
+@query("a09_large_components", f"WITH {REACH}, part AS (SELECT u, v, component FROM se JOIN comp ON id = u) SELECT u, v FROM part WHERE component IN (SELECT component FROM part GROUP BY component HAVING count(*) >= 3)")
 def _(spark, sf):
     return graph.large_components(_sparse(spark, sf), 3)
 
@@ -452,7 +452,18 @@ def _(spark, sf):
     return merge.snap_clusters(fx.nodes(spark, sf), fx.SNAP)
 
 
-@query("g05_junction_collapse")
+D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
+
+
+@query(
+    "g05_junction_collapse",
+    f"""WITH RECURSIVE hi AS (SELECT nid, x, y FROM (SELECT n, count(*) AS c FROM (SELECT u AS n FROM fx_edge UNION ALL SELECT v FROM fx_edge) GROUP BY n) JOIN fx_node ON nid = n WHERE c >= 3),
+    nr AS (SELECT a.nid AS a, b.nid AS b FROM hi a JOIN hi b ON a.nid <> b.nid AND abs(a.x - b.x) <= 40 AND abs(a.y - b.y) <= 40 AND {D2} <= 1600),
+    rc(a, b) AS (SELECT nid, nid FROM hi UNION SELECT rc.a, nr.b FROM rc JOIN nr ON rc.b = nr.a), cl AS (SELECT a AS nid, min(b) AS cid FROM rc GROUP BY a),
+    mp AS (SELECT nid, coalesce(cid, nid) AS cid FROM fx_node LEFT JOIN cl USING (nid))
+    SELECT u, v, s, t, CAST(0 AS INTEGER) AS synthetic FROM (SELECT least(a.cid, b.cid) AS u, greatest(a.cid, b.cid) AS v, s, t, row_number() OVER (PARTITION BY least(a.cid, b.cid), greatest(a.cid, b.cid) ORDER BY s DESC, t DESC) AS rn
+    FROM fx_edge e JOIN mp a ON e.u = a.nid JOIN mp b ON e.v = b.nid WHERE a.cid <> b.cid) WHERE rn = 1""",
+)
 def _(spark, sf):
     n, e = fx.nodes(spark, sf), fx.edges(spark, sf).withColumn("synthetic", F.lit(0))
     return merge.collapse_junctions(n, e.select("u", "v", "s", "t", "synthetic"), 40)[1]
@@ -478,7 +489,7 @@ def _(spark, sf):
     return graph.hops(e, start, 3)
 
 
-@query("g07_bounded_search")
+@query("g07_bounded_search", f"WITH {HOP.replace('WHERE hop < 3', 'WHERE hop < 3 AND n % 7 <> 0')} SELECT source, n, min(hop) AS hop FROM walk GROUP BY source, n")
 def _(spark, sf):
     e = fx.edges(spark, sf).where("s < 300").select("u", "v")
     start = graph.both_ways(e).where("u % 50 = 1").select(F.col("u").alias("source")).distinct()
@@ -609,7 +620,13 @@ def _(spark, sf):
     return labels.label_pairs(pairs, fx.edges(spark, sf).where("s < 300"), 1)
 
 
-@query("g32_snapped_labels")
+@query(
+    "g32_snapped_labels",
+    f"""WITH pt AS (SELECT nid, x + 2 AS x, y - 1 AS y FROM fx_node), knn AS ({KNN.replace("rn <= 4", "rn <= 3")}),
+    sn AS (SELECT a, b FROM (SELECT a.nid AS a, b.nid AS b, row_number() OVER (PARTITION BY a.nid ORDER BY {D2}, b.nid) AS rn FROM pt a JOIN fx_node b ON abs(a.x - b.x) <= 20 AND abs(a.y - b.y) <= 20 AND {D2} <= 400) WHERE rn = 1),
+    two AS (SELECT u, v FROM fx_edge WHERE s < 300 UNION SELECT v, u FROM fx_edge WHERE s < 300), hop AS (SELECT u, v FROM two UNION SELECT a.u, b.v FROM two a JOIN two b ON a.v = b.u)
+    SELECT k.u, k.v, CAST(CASE WHEN p.b <> q.b AND EXISTS (SELECT 1 FROM hop h WHERE h.u = p.b AND h.v = q.b) THEN 1 ELSE 0 END AS INTEGER) AS label FROM knn k JOIN sn p ON p.a = k.u JOIN sn q ON q.a = k.v""",
+)
 def _(spark, sf):
     n = fx.nodes(spark, sf)
     moved = n.selectExpr("nid", "x + 2 AS x", "y - 1 AS y")
@@ -631,7 +648,7 @@ def _(spark, sf):
     return labels.split(T(spark, sf, "part").selectExpr("p_partkey AS id"))
 
 
-@query("m02_topology_canvas")
+@query("m02_topology_canvas", "SELECT CAST(floor((a.x + (k / 9) * (b.x - a.x)) / 100) AS BIGINT) AS i, CAST(floor((a.y + (k / 9) * (b.y - a.y)) / 100) AS BIGINT) AS j, count(*) AS n FROM fx_edge JOIN fx_node a ON a.nid = u JOIN fx_node b ON b.nid = v, range(0, 10) r(k) WHERE s > 900 GROUP BY ALL")
 def _(spark, sf):
     return tiles.canvas(labels.with_ends(fx.edges(spark, sf).where("s > 900").select("u", "v"), fx.nodes(spark, sf)), 100)
 
