@@ -115,9 +115,11 @@ def _(spark, sf):
     return fx.manifest(spark, sf).select("k", files.geojson_crs(doc).alias("epsg"))
 
 
-@query("s13_sniff_crs", "SELECT CAST(CASE WHEN max(abs(x)) <= 180 AND max(abs(y)) <= 90 THEN 4326 WHEN max(abs(x)) <= 20037508.4 AND max(abs(y)) <= 20037508.4 THEN 3857 END AS INTEGER) AS epsg FROM fx_node")
+@query("s13_sniff_crs", f"SELECT g, CAST(CASE WHEN min(x) >= -180 AND max(x) <= 180 AND min(y) >= -90 AND max(y) <= 90 THEN 4326 END AS INTEGER) AS epsg FROM (SELECT 'm' AS g, x, y FROM fx_node UNION ALL SELECT 'd', x / 100.0 - 90, y / 200.0 FROM fx_node) GROUP BY g")
 def _(spark, sf):
-    return files.sniff_crs(fx.nodes(spark, sf))
+    n = fx.nodes(spark, sf)
+    one = lambda name, df: files.sniff_crs(df).select(F.lit(name).alias("g"), "epsg")
+    return one("m", n).unionByName(one("d", n.selectExpr("x / 100D - 90 AS x", "y / 200D AS y")))
 
 
 @query("s14_pixel_keys", "SELECT nid, x AS r, y AS c FROM fx_node")
@@ -144,13 +146,19 @@ def _(spark, sf):
     return labels.with_ends(fx.edges(spark, sf).where("u <> v").select("u", "v"), n)
 
 
-@query("s23_walkways", "SELECT count(*) AS n, CAST(sum(least_id) AS BIGINT) AS s FROM (SELECT min(n_nationkey) AS least_id FROM nation WHERE n_nationkey % 4 IN (0, 1) GROUP BY n_nationkey % 9)")
+@query("s23_walkways", "SELECT n_nationkey % 9 AS geometry FROM nation WHERE n_nationkey % 4 IN (0, 1) OR n_nationkey % 7 = 5 GROUP BY 1")
 def _(spark, sf):
-    tags = F.when(F.col("k") % 4 == 0, F.create_map(F.lit("highway"), F.lit("footway"), F.lit("footway"), F.lit("sidewalk"))).when(F.col("k") % 4 == 1, F.create_map(F.lit("sidewalk"), F.lit("both"))).otherwise(F.create_map(F.lit("highway"), F.lit("motorway")))
-    ways = fx.manifest(spark, sf).select(F.col("k").alias("id"), tags.alias("tags"), (F.col("k") % 9).cast("string").alias("geometry"))
-    good = files.walkways(ways).select("geometry")
-    back = fx.manifest(spark, sf).where("k % 4 IN (0, 1)").groupBy((F.col("k") % 9).cast("string").alias("geometry")).agg(F.min("k").alias("least_id"))
-    return back.join(good, "geometry").agg(F.count("*").alias("n"), F.sum(F.col("least_id").cast("long")).alias("s"))
+    pair = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
+    k = F.col("k")
+    tags = (
+        F.when(k % 4 == 0, pair("highway", "footway", "footway", "sidewalk"))
+        .when(k % 4 == 1, pair("highway", "footway"))
+        .when(k % 7 == 5, pair("highway", "path", "foot", "designated"))
+        .when(k % 4 == 2, pair("highway", "footway", "footway", "crossing"))
+        .otherwise(pair("highway", "motorway"))
+    )
+    ways = fx.manifest(spark, sf).select(k.alias("id"), tags.alias("tags"), (k % 9).alias("geometry"))
+    return files.walkways(ways).select("geometry")
 
 
 @query("s25_file_priority", "SELECT tile_id, CASE WHEN k % 2 = 0 THEN 'a' WHEN k % 3 = 0 THEN 'b' END AS dir, k % 2 <> 0 AND k % 3 <> 0 AS missing FROM fx_manifest")

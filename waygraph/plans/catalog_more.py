@@ -415,9 +415,9 @@ def _(spark, sf):
     return tiles.average_precision(fx.predictions(spark, sf)).select(micro(F.col("ap")).alias("ap"))
 
 
-@query("a24_soft_dice", f"SELECT z AS class, {m('1 - (2 * sum(p * y) / 1000.0::DOUBLE + 1) / (sum(p) / 1000.0::DOUBLE + sum(y) + 1)')} AS dice FROM fx_prediction GROUP BY z")
+@query("a24_soft_dice", f"SELECT z AS class, {m('1 - (2 * sum(p * y) / 1000.0::DOUBLE + 1e-6::DOUBLE) / (sum(p) / 1000.0::DOUBLE + sum(y) + 1e-6::DOUBLE)')} AS dice FROM fx_prediction GROUP BY z")
 def _(spark, sf):
-    loss = 1 - (2 * F.sum(F.col("p") * F.col("y")) / 1000.0 + 1) / (F.sum("p") / 1000.0 + F.sum("y") + 1)
+    loss = 1 - (2 * F.sum(F.col("p") * F.col("y")) / 1000.0 + 1e-6) / (F.sum("p") / 1000.0 + F.sum("y") + 1e-6)
     return fx.predictions(spark, sf).groupBy(F.col("z").alias("class")).agg(micro(loss).alias("dice"))
 
 

@@ -97,9 +97,9 @@ def geojson_crs(doc: Column) -> Column:
 
 
 def sniff_crs(points: DataFrame) -> DataFrame:
-    """One row, epsg: 4326 if all coordinates look like degrees, 3857 if like web metres, else null."""
-    far = points.agg(F.max(F.abs("x")).alias("x"), F.max(F.abs("y")).alias("y"))
-    return far.select(F.when((F.col("x") <= 180) & (F.col("y") <= 90), 4326).when((F.col("x") <= 20037508.4) & (F.col("y") <= 20037508.4), 3857).alias("epsg"))
+    """One row, epsg: 4326 if all coordinates lie within degrees, else null (the caller must be told)."""
+    inside = (F.min("x") >= -180) & (F.max("x") <= 180) & (F.min("y") >= -90) & (F.max("y") <= 90)
+    return points.agg(F.when(inside, 4326).alias("epsg"))
 
 
 def graph_json(text: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +150,10 @@ def latest(files: DataFrame) -> DataFrame:
 
 
 def walkways(ways: DataFrame) -> DataFrame:
-    """Ways (id, tags as a map, geometry) that are sidewalks, footways or crossings; one of equal geometries."""
+    """Ways (id, tags as a map, geometry) that pass one of three tag filters; one of equal geometries."""
     t = lambda k: F.try_element_at("tags", F.lit(k))
-    good = ((t("highway") == "footway") & t("footway").isin("sidewalk", "crossing")) | (t("highway").isin("footway", "path", "pedestrian", "steps")) | t("sidewalk").isin("left", "right", "both")
-    return ways.where(good).dropDuplicates(["geometry"])
+    has = lambda k, word: F.coalesce(t(k).contains(word), F.lit(False))
+    sidewalk = has("highway", "footway") & has("footway", "sidewalk")
+    designated = has("foot", "designated")
+    not_crossing = F.coalesce(t("highway") == "footway", F.lit(False)) & ~has("footway", "crossing")
+    return ways.where((sidewalk | designated | not_crossing) & F.col("geometry").isNotNull()).dropDuplicates(["geometry"])
