@@ -133,3 +133,17 @@ def prf(tp_pred: Column, n_pred: Column, tp_ref: Column, n_ref: Column) -> tuple
 
 def weighted_mean(x: Column, w: Column) -> Column:
     return F.when(F.coalesce(F.sum(w), F.lit(0)) > 0, F.try_divide(F.sum(x * w), F.sum(w))).otherwise(0.0)
+
+
+def path_scores(gt: Column, pred: Column, distance: Column, m: Metric) -> tuple[Column, Column, Column]:
+    """Length, geometry and combined score of aligned paths, as columns; 0 where the path has no length."""
+    clamp = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    length = F.when(gt > 0, clamp(1 - F.abs(gt - pred) / gt)).otherwise(0.0)
+    shape = F.when(gt > 0, clamp(1 - distance / m.tau)).otherwise(0.0)
+    return length, shape, clamp(m.w_length * length + m.w_geometry * shape)
+
+
+def weighted_bce(p: Column, y: Column, w: Column) -> Column:
+    """Mean of weighted cross-entropy of probabilities held within 1e-7 of 0 and 1."""
+    q = F.least(F.lit(1 - 1e-7), F.greatest(F.lit(1e-7), p))
+    return F.avg(-w * (y * F.ln(q) + (1 - y) * F.ln(1 - q)))

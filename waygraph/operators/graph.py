@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waygraph.plans.storage import stored
@@ -63,8 +63,6 @@ def dense_ids(nodes: DataFrame, id_: str) -> DataFrame:
     """
     parts = nodes.select(id_).distinct().repartitionByRange(id_).sortWithinPartitions(id_).withColumn("_p", F.spark_partition_id())
     parts = stored(parts, "ids")
-    from pyspark.sql import Window
-
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_at", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_at")  # a row a partition
     ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(id_)))
@@ -95,10 +93,28 @@ def large_components(edges: DataFrame, least: int = 3) -> DataFrame:
     return own.join(big, "component", "left_semi").select(*edges.columns)
 
 
-def split_edges(edges: DataFrame, spacing: float) -> DataFrame:
-    """(u, v, piece, x, y): points along edges (x1, y1, x2, y2) cut in equal pieces of at most ``spacing``."""
-    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), F.lit(2)) + F.pow(F.col("y2") - F.col("y1"), F.lit(2)))
-    n = F.greatest(F.lit(1), F.ceil(length / F.lit(float(spacing))).cast("int"))
-    cut = edges.withColumn("_n", n).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+def _length() -> Column:
+    return F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
+
+
+def cut_edges(edges: DataFrame, pieces: Column) -> DataFrame:
+    """(u, v, piece, x, y): the ends of equal pieces of edges (x1, y1, x2, y2)."""
+    cut = edges.withColumn("_n", F.greatest(F.lit(1), pieces.cast("int"))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     t = F.col("piece") / F.col("_n")
     return cut.select("u", "v", "piece", (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
+
+
+def split_edges(edges: DataFrame, spacing: float) -> DataFrame:
+    """Edges cut in equal pieces of at most ``spacing``."""
+    return cut_edges(edges, F.ceil(_length() / F.lit(float(spacing))))
+
+
+def split_long_edges(edges: DataFrame, over: float, step: float) -> DataFrame:
+    """Edges longer than ``over`` cut in one piece more than ``step`` goes into them."""
+    return cut_edges(edges, F.when(_length() > over, F.floor(_length() / F.lit(float(step))) + 1).otherwise(1))
+
+
+def distinct_places(points: DataFrame, digits: int = 6) -> DataFrame:
+    """(kx, ky): places of points told apart to ``digits`` decimals, as whole numbers."""
+    key = lambda c: F.rint(F.col(c) * 10**digits).cast("long")
+    return points.select(key("x").alias("kx"), key("y").alias("ky")).distinct()

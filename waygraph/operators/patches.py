@@ -16,9 +16,9 @@ def grid(images: DataFrame, width: str, height: str) -> DataFrame:
 
 def occupied(points: DataFrame, size: int, least: int = 2) -> DataFrame:
     """(i, j, n): cells with at least ``least`` points."""
-    return points.groupBy(F.expr(f"x div {size}").alias("i"), F.expr(f"y div {size}").alias("j")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return points.groupBy(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def one_per_cell(points: DataFrame, size: int, id_: str = "nid") -> DataFrame:
     """The point of least id in each cell."""
-    return points.groupBy(F.expr(f"x div {size}").alias("i"), F.expr(f"y div {size}").alias("j")).agg(F.min(id_).alias(id_))
+    return points.groupBy(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")).agg(F.min(id_).alias(id_))

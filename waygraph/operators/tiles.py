@@ -150,6 +150,13 @@ def control_rows(nodes: DataFrame, edges: DataFrame, spacing: float, limit: int)
     return _grouped(nodes, edges, step, "graph_id long, place int, id long")
 
 
+def spread_rows(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    def step(adj, xy):
+        yield from enumerate(R.spread(sorted(xy), xy, limit))
+
+    return _grouped(nodes, edges, step, "graph_id long, place int, id long")
+
+
 def od_lengths(nodes: DataFrame, edges: DataFrame, spacing: float, limit: int) -> DataFrame:
     def step(adj, xy):
         points = R.control_points(adj, xy, spacing, limit)

@@ -98,15 +98,40 @@ def _(spark, sf):
     return files.select_records(rows, ["tile_00009", "tile_00003", "tile_00017", "tile_00004"], 3).select("tile_id")
 
 
-@query("s11_geojson_lines", "SELECT line AS fid, CAST(0 AS INTEGER) AS part, CAST(row_number() OVER (PARTITION BY line ORDER BY seq) - 1 AS INTEGER) AS seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM fx_polyline WHERE line IN (SELECT line FROM fx_polyline GROUP BY line HAVING count(*) >= 2)")
-def _(spark, sf):
+LINES = "SELECT line AS fid, CAST(0 AS INTEGER) AS part, CAST(row_number() OVER (PARTITION BY line ORDER BY seq) - 1 AS INTEGER) AS seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM fx_polyline WHERE line IN (SELECT line FROM fx_polyline GROUP BY line HAVING count(*) >= 2)"
+
+
+def _geojson(spark, sf):
     pts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"), F.lit(9.0)))
     lines = fx.polylines(spark, sf).groupBy(F.col("line").alias("fid")).agg(pts.alias("c"))
     plain = F.to_json(F.struct(F.lit("LineString").alias("type"), F.col("c").alias("coordinates")))
     multi = F.to_json(F.struct(F.lit("MultiLineString").alias("type"), F.array("c").alias("coordinates")))
     nest = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), plain, F.lit(',{"type":"Point","coordinates":[1,2]}]}'))
     g = F.when(F.col("fid") % 3 == 0, plain).when(F.col("fid") % 3 == 1, multi).otherwise(nest)
-    return files.geojson_lines(lines.select("fid", g.alias("geometry")))
+    return lines.select("fid", g.alias("geometry"))
+
+
+@query("s11_geojson_lines", LINES)
+def _(spark, sf):
+    return files.geojson_lines(_geojson(spark, sf))
+
+
+@query("s10_read_network", "SELECT count(*) AS n, CAST(sum(x + y) AS BIGINT) AS s, CAST(2157 AS INTEGER) AS epsg FROM (" + LINES + ")")
+def _(spark, sf):
+    import uuid
+
+    feature = F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("geometry"), F.lit("}"))
+    head = '{"type":"FeatureCollection","crs":{"properties":{"name":"urn:ogc:def:crs:EPSG::2157"}},"features":['
+    one = _geojson(spark, sf).agg(F.concat(F.lit(head), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("value"))
+    path = f"{shared_dir(spark)}/network-{uuid.uuid4().hex}"
+    one.write.text(path)  # one document: the network of a tile
+    return files.read_network(spark, path).groupBy("epsg").agg(F.count("*").alias("n"), F.sum(F.col("x") + F.col("y")).cast("long").alias("s"))
+
+
+@query("s21_line_features", "SELECT DISTINCT line AS fid FROM fx_polyline WHERE line % 2 = 0 AND line IN (SELECT line FROM fx_polyline GROUP BY line HAVING count(*) >= 2)")
+def _(spark, sf):
+    g = F.when(F.col("fid") % 2 == 0, F.col("geometry")).otherwise(F.lit('{"type":"Point","coordinates":[1,2]}'))
+    return files.geojson_lines(_geojson(spark, sf).select("fid", g.alias("geometry"))).select("fid").distinct()
 
 
 @query("s12_geojson_crs", "SELECT k, CASE WHEN k % 3 = 0 THEN NULL ELSE CAST(3000 + k AS INTEGER) END AS epsg FROM fx_manifest")

@@ -97,9 +97,9 @@ def _(spark, sf):
     return _grid(spark, sf).select("k", geo.coverage_patches(F.col("w"), F.col("p") * 4, F.col("margin") / 20.0).alias("n"))
 
 
-@query("f10_patch_filter", "SELECT i, j, count(*) AS n FROM (SELECT x // 400 AS i, y // 400 AS j FROM fx_node WHERE y >= 0) GROUP BY i, j HAVING count(*) > 1")
+@query("f10_patch_filter", "SELECT CAST(floor(x / 400) AS BIGINT) AS i, CAST(floor(y / 400) AS BIGINT) AS j, count(*) AS n FROM fx_node GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, sf):
-    return patches.occupied(fx.nodes(spark, sf).where("y >= 0"), 400)
+    return patches.occupied(fx.nodes(spark, sf), 400)
 
 
 @query("f11_score_floor", "SELECT tile, count(*) AS n FROM fx_edge WHERE s >= 500 GROUP BY tile")
@@ -158,9 +158,9 @@ def _(spark, sf):
     return tiles.in_bounds(fx.nodes(spark, sf), 306 * 30, 30).select("nid")
 
 
-@query("f23_one_per_cell", "SELECT min(nid) AS nid FROM fx_node WHERE y >= 0 GROUP BY x // 97, y // 97")
+@query("f23_one_per_cell", "SELECT min(nid) AS nid FROM fx_node GROUP BY floor(x / 97), floor(y / 97)")
 def _(spark, sf):
-    return patches.one_per_cell(fx.nodes(spark, sf).where("y >= 0"), 97).select("nid")
+    return patches.one_per_cell(fx.nodes(spark, sf), 97).select("nid")
 
 
 # ---- joins -------------------------------------------------------------------------------
@@ -209,11 +209,11 @@ def _(spark, sf):
 
 
 def _segments(spark, sf):
-    e = fx.edges(spark, sf).where("s < 120").select("u", "v")
+    e = fx.edges(spark, sf).where("s >= 600").select("u", "v")
     return labels.with_ends(e, fx.nodes(spark, sf)).selectExpr("u * 1000003 + v AS id", "x1", "y1", "x2", "y2")
 
 
-SEG = "(SELECT u * 1000003 + v AS id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM fx_edge JOIN fx_node a ON u = a.nid JOIN fx_node b ON v = b.nid WHERE s < 120)"
+SEG = "(SELECT u * 1000003 + v AS id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM fx_edge JOIN fx_node a ON u = a.nid JOIN fx_node b ON v = b.nid WHERE s >= 600)"
 
 
 def _side(p, q, e):
@@ -308,17 +308,16 @@ def _(spark, sf):
     return graph.degree(fx.edges(spark, sf))
 
 
-SPARSE = "(SELECT u, v FROM fx_edge WHERE s < 60)"
-REACH = f"RECURSIVE se AS (SELECT u, v FROM fx_edge WHERE s < 60), two AS (SELECT u, v FROM se UNION SELECT v, u FROM se), reach(a, b) AS (SELECT u, u FROM two UNION SELECT r.a, t.v FROM reach r JOIN two t ON r.b = t.u), comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)"
+REACH = f"RECURSIVE se AS (SELECT u, v FROM fx_edge WHERE s >= 600), two AS (SELECT u, v FROM se UNION SELECT v, u FROM se), reach(a, b) AS (SELECT u, u FROM two UNION SELECT r.a, t.v FROM reach r JOIN two t ON r.b = t.u), comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)"
 
 
-def _sparse(spark, sf):
-    return fx.edges(spark, sf).where("s < 60").select("u", "v")
+def _network(spark, sf):
+    return fx.edges(spark, sf).where("s >= 600").select("u", "v")
 
 
 @query("a09_large_components", f"WITH {REACH}, part AS (SELECT u, v, component FROM se JOIN comp ON id = u) SELECT u, v FROM part WHERE component IN (SELECT component FROM part GROUP BY component HAVING count(*) >= 3)")
 def _(spark, sf):
-    return graph.large_components(_sparse(spark, sf), 3)
+    return graph.large_components(_network(spark, sf), 3)
 
 
 @query("a10_pair_labels", "SELECT u, v, max(mix) AS label FROM fx_observation GROUP BY u, v")
@@ -373,7 +372,7 @@ def _(spark, sf):
 
 @query("a17_graph_summary", f"WITH {REACH} SELECT (SELECT count(*) FROM comp) AS nodes, (SELECT count(*) FROM se) AS edges, count(*) AS components, max(n) AS largest FROM (SELECT component, count(*) AS n FROM comp GROUP BY component)")
 def _(spark, sf):
-    e = _sparse(spark, sf)
+    e = _network(spark, sf)
     c = graph.connected_components(e).groupBy("component").agg(F.count("*").alias("n")).agg(F.sum("n").alias("nodes"), F.count("*").alias("components"), F.max("n").alias("largest"))
     return c.crossJoin(F.broadcast(e.agg(F.count("*").alias("edges")))).select("nodes", "edges", "components", "largest")
 
@@ -444,7 +443,7 @@ def _(spark, sf):
 
 @query("g03_components", f"WITH {REACH} SELECT id, component FROM comp")
 def _(spark, sf):
-    return graph.connected_components(_sparse(spark, sf))
+    return graph.connected_components(_network(spark, sf))
 
 
 @query("g04_snap_clusters", "SELECT nid, cid FROM fx_cluster")
@@ -479,27 +478,27 @@ def _(spark, sf):
     return merged(spark, sf)[0].select("cid", micro(F.col("x")).alias("x"), micro(F.col("y")).alias("y"))
 
 
-HOP = "RECURSIVE two AS (SELECT u, v FROM fx_edge WHERE s < 300 UNION SELECT v, u FROM fx_edge WHERE s < 300), walk(source, n, hop) AS (SELECT DISTINCT u, u, 0 FROM two WHERE u % 50 = 1 UNION SELECT source, v, hop + 1 FROM walk JOIN two ON n = u WHERE hop < 3)"
+HOP = "RECURSIVE two AS (SELECT u, v FROM fx_edge WHERE s >= 600 UNION SELECT v, u FROM fx_edge WHERE s >= 600), walk(source, n, hop) AS (SELECT DISTINCT u, u, 0 FROM two UNION SELECT source, v, hop + 1 FROM walk JOIN two ON n = u WHERE hop < 2)"
 
 
 @query("g08_hops", f"WITH {HOP} SELECT source, n, min(hop) AS hop FROM walk GROUP BY source, n")
 def _(spark, sf):
-    e = fx.edges(spark, sf).where("s < 300").select("u", "v")
-    start = graph.both_ways(e).where("u % 50 = 1").select(F.col("u").alias("source")).distinct()
-    return graph.hops(e, start, 3)
+    e = fx.edges(spark, sf).where("s >= 600").select("u", "v")
+    start = graph.both_ways(e).select(F.col("u").alias("source")).distinct()
+    return graph.hops(e, start, 2)
 
 
-@query("g07_bounded_search", f"WITH {HOP.replace('WHERE hop < 3', 'WHERE hop < 3 AND n % 7 <> 0')} SELECT source, n, min(hop) AS hop FROM walk GROUP BY source, n")
+@query("g07_bounded_search", f"WITH {HOP.replace('WHERE hop < 2', 'WHERE hop < 2 AND n NOT IN (SELECT u FROM fx_edge WHERE s >= 600 AND t = 1 UNION SELECT v FROM fx_edge WHERE s >= 600 AND t = 1)')} SELECT source, n, min(hop) AS hop FROM walk GROUP BY source, n")
 def _(spark, sf):
-    e = fx.edges(spark, sf).where("s < 300").select("u", "v")
-    start = graph.both_ways(e).where("u % 50 = 1").select(F.col("u").alias("source")).distinct()
-    stop = graph.both_ways(e).where("u % 7 = 0").select(F.col("u").alias("n")).distinct()
-    return graph.hops(e, start, 3, stop)
+    e = fx.edges(spark, sf).where("s >= 600")
+    start = graph.both_ways(e.select("u", "v")).select(F.col("u").alias("source")).distinct()
+    stop = e.where("t = 1").select(F.explode(F.array("u", "v")).alias("n")).distinct()  # crossings are not gone through
+    return graph.hops(e.select("u", "v"), start, 2, stop)
 
 
 @query("g09_bridges")
 def _(spark, sf):
-    return tiles.bridge_edges(fx.edges(spark, sf).where("s < 250").select(F.col("tile").alias("graph_id"), "u", "v"))
+    return tiles.bridge_edges(fx.edges(spark, sf).where("s >= 600").select(F.col("tile").alias("graph_id"), "u", "v"))
 
 
 def _ring_graphs(spark, sf, limit=40):
@@ -532,6 +531,55 @@ def _(spark, sf):
     return graph.split_edges(e, 60.0).select("u", "v", "piece", micro(F.col("x")).alias("x"), micro(F.col("y")).alias("y"))
 
 
+@query("g13_densify_places", f"SELECT DISTINCT x AS kx, y AS ky FROM ({DENS})")
+def _(spark, sf):
+    e = labels.with_ends(fx.edges(spark, sf).select("u", "v"), fx.nodes(spark, sf))
+    return graph.distinct_places(graph.split_edges(e, 60.0))
+
+
+@query("g14_long_edges", DENS.replace("greatest(1, CAST(ceil(sqrt(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE) / 60.0) AS INTEGER))", "CAST(CASE WHEN (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) > 10000 THEN floor(sqrt(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE) / 50.0) + 1 ELSE 1 END AS INTEGER)"))
+def _(spark, sf):
+    e = labels.with_ends(fx.edges(spark, sf).select("u", "v"), fx.nodes(spark, sf))
+    return graph.split_long_edges(e, 100.0, 50.0).select("u", "v", "piece", micro(F.col("x")).alias("x"), micro(F.col("y")).alias("y"))
+
+
+PATHS = "SELECT o_orderkey AS k, o_custkey % 500 AS lg, (o_custkey * 7) % 500 AS lp, o_orderkey % 40 AS d FROM orders"
+
+
+@query("g27_path_scores", f"SELECT k, {m('l')} AS length, {m('g')} AS geometry, {m('least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5::DOUBLE * l + 0.5::DOUBLE * g))')} AS combined FROM (SELECT k, CASE WHEN lg > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - abs(lg - lp) / lg::DOUBLE)) ELSE 0 END AS l, CASE WHEN lg > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - d / 20.0::DOUBLE)) ELSE 0 END AS g FROM ({PATHS}))")
+def _(spark, sf):
+    p = T(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_custkey % 500 AS lg", "(o_custkey * 7) % 500 AS lp", "o_orderkey % 40 AS d")
+    length, shape, both = ev.path_scores(F.col("lg"), F.col("lp"), F.col("d"), ev.Metric())
+    return p.select("k", micro(length).alias("length"), micro(shape).alias("geometry"), micro(both).alias("combined"))
+
+
+@query("a25_weighted_bce", "SELECT z AS class, CAST(round_even(avg(-(1 + y) * (y * ln(q) + (1 - y) * ln(1 - q))) * 1e4, 0) AS BIGINT) AS loss FROM (SELECT z, y, least(1 - 1e-7::DOUBLE, greatest(1e-7::DOUBLE, p / 1000::DOUBLE)) AS q FROM fx_prediction) GROUP BY z")
+def _(spark, sf):
+    loss = ev.weighted_bce(F.col("p") / 1000, F.col("y"), 1 + F.col("y"))
+    return fx.predictions(spark, sf).groupBy(F.col("z").alias("class")).agg(F.rint(loss * 1e4).cast("long").alias("loss"))
+
+
+@query("g20_spread_points")
+def _(spark, sf):
+    n, e = _ring_graphs(spark, sf)
+    return tiles.spread_rows(n, e, 5)
+
+
+@query("g23_whole_lengths")
+def _(spark, sf):
+    n, e = _ring_graphs(spark, sf)
+    return tiles.od_lengths(n, e.withColumn("length", F.floor(F.col("length") * 100).cast("double")), 20000.0, 12)
+
+
+@query("u05_disjoint_origins", "SELECT a.cid AS a, b.cid AS b FROM fx_center a JOIN fx_center b ON a.cid < b.cid AND abs(a.x - b.x) <= 250 AND abs(a.y - b.y) <= 250 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 62500 WHERE NOT list_has_any(a.tiles, b.tiles)")
+def _(spark, sf):
+    n = fx.nodes(spark, sf)
+    c = stored(merge.centers(n, merge.snap_clusters(n, fx.SNAP)), "centers")
+    near = spatial.radius_join(c, 250, "cid")
+    t = lambda k: c.select(F.col("cid").alias(k), F.col("tiles").alias("t" + k))
+    return near.join(t("a"), "a").join(t("b"), "b").where(~F.arrays_overlap("ta", "tb")).select("a", "b")
+
+
 VERT = "SELECT line, seq, x // 4 AS kx, y // 4 AS ky, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM fx_polyline WINDOW w AS (PARTITION BY line ORDER BY seq)"
 
 
@@ -614,28 +662,28 @@ def _(spark, sf):
     return labels.candidate_graph(fx.nodes(spark, sf), 300, 4)
 
 
-@query("g31_pair_labels", f"WITH {CAND} SELECT k.u, k.v, CAST(CASE WHEN e.u IS NULL THEN 0 ELSE 1 END AS INTEGER) AS label FROM knn k LEFT JOIN (SELECT DISTINCT u, v FROM fx_edge WHERE s < 300) e ON e.u = k.u AND e.v = k.v")
+@query("g31_pair_labels", f"WITH {CAND} SELECT k.u, k.v, CAST(CASE WHEN e.u IS NULL THEN 0 ELSE 1 END AS INTEGER) AS label FROM knn k LEFT JOIN (SELECT DISTINCT u, v FROM fx_edge WHERE s >= 600) e ON e.u = k.u AND e.v = k.v")
 def _(spark, sf):
     pairs = spatial.knn_join(fx.nodes(spark, sf), 300, 4, "nid")
-    return labels.label_pairs(pairs, fx.edges(spark, sf).where("s < 300"), 1)
+    return labels.label_pairs(pairs, fx.edges(spark, sf).where("s >= 600"), 1)
 
 
 @query(
     "g32_snapped_labels",
     f"""WITH pt AS (SELECT nid, x + 2 AS x, y - 1 AS y FROM fx_node), knn AS ({KNN.replace("rn <= 4", "rn <= 3")}),
     sn AS (SELECT a, b FROM (SELECT a.nid AS a, b.nid AS b, row_number() OVER (PARTITION BY a.nid ORDER BY {D2}, b.nid) AS rn FROM pt a JOIN fx_node b ON abs(a.x - b.x) <= 20 AND abs(a.y - b.y) <= 20 AND {D2} <= 400) WHERE rn = 1),
-    two AS (SELECT u, v FROM fx_edge WHERE s < 300 UNION SELECT v, u FROM fx_edge WHERE s < 300), hop AS (SELECT u, v FROM two UNION SELECT a.u, b.v FROM two a JOIN two b ON a.v = b.u)
+    two AS (SELECT u, v FROM fx_edge WHERE s >= 600 UNION SELECT v, u FROM fx_edge WHERE s >= 600), hop AS (SELECT u, v FROM two UNION SELECT a.u, b.v FROM two a JOIN two b ON a.v = b.u)
     SELECT k.u, k.v, CAST(CASE WHEN p.b <> q.b AND EXISTS (SELECT 1 FROM hop h WHERE h.u = p.b AND h.v = q.b) THEN 1 ELSE 0 END AS INTEGER) AS label FROM knn k JOIN sn p ON p.a = k.u JOIN sn q ON q.a = k.v""",
 )
 def _(spark, sf):
     n = fx.nodes(spark, sf)
     moved = n.selectExpr("nid", "x + 2 AS x", "y - 1 AS y")
-    return labels.snapped_labels(moved, spatial.knn_join(moved, 300, 3, "nid"), n, fx.edges(spark, sf).where("s < 300"), 20, 2)
+    return labels.snapped_labels(moved, spatial.knn_join(moved, 300, 3, "nid"), n, fx.edges(spark, sf).where("s >= 600"), 20, 2)
 
 
-@query("g33_interest", f"WITH d AS (SELECT nid, x, y, coalesce(c, 0) <> 2 AS odd FROM fx_node LEFT JOIN (SELECT n, count(*) AS c FROM (SELECT u AS n FROM fx_edge WHERE s < 300 UNION ALL SELECT v FROM fx_edge WHERE s < 300) GROUP BY n) ON n = nid), near AS (SELECT DISTINCT a.nid FROM d a JOIN d b ON b.odd AND abs(a.x - b.x) <= 60 AND abs(a.y - b.y) <= 60 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 3600), tree AS (SELECT DISTINCT a AS nid FROM {NODE_A} JOIN {SUPPLIER} ON {AB2} <= 3600) SELECT nid, CAST(CASE WHEN nid IN (SELECT nid FROM near) OR nid IN (SELECT nid FROM tree) THEN 9 ELSE 1 END AS INTEGER) AS tenths, odd OR nid IN (SELECT nid FROM tree) AS always FROM d")
+@query("g33_interest", f"WITH d AS (SELECT nid, x, y, coalesce(c, 0) <> 2 AS odd FROM fx_node LEFT JOIN (SELECT n, count(*) AS c FROM (SELECT u AS n FROM fx_edge WHERE s >= 600 UNION ALL SELECT v FROM fx_edge WHERE s >= 600) GROUP BY n) ON n = nid), near AS (SELECT DISTINCT a.nid FROM d a JOIN d b ON b.odd AND abs(a.x - b.x) <= 60 AND abs(a.y - b.y) <= 60 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 3600), tree AS (SELECT DISTINCT a AS nid FROM {NODE_A} JOIN {SUPPLIER} ON {AB2} <= 3600) SELECT nid, CAST(CASE WHEN nid IN (SELECT nid FROM near) OR nid IN (SELECT nid FROM tree) THEN 9 ELSE 1 END AS INTEGER) AS tenths, odd OR nid IN (SELECT nid FROM tree) AS always FROM d")
 def _(spark, sf):
-    return labels.interest(fx.nodes(spark, sf), fx.edges(spark, sf).where("s < 300"), _supplier_points(spark, sf), 60)
+    return labels.interest(fx.nodes(spark, sf), fx.edges(spark, sf).where("s >= 600"), _supplier_points(spark, sf), 60)
 
 
 @query("g38_edge_geometry", "SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM fx_edge")
@@ -648,9 +696,9 @@ def _(spark, sf):
     return labels.split(T(spark, sf, "part").selectExpr("p_partkey AS id"))
 
 
-@query("m02_topology_canvas", "SELECT CAST(floor((a.x + (k / 9) * (b.x - a.x)) / 100) AS BIGINT) AS i, CAST(floor((a.y + (k / 9) * (b.y - a.y)) / 100) AS BIGINT) AS j, count(*) AS n FROM fx_edge JOIN fx_node a ON a.nid = u JOIN fx_node b ON b.nid = v, range(0, 10) r(k) WHERE s > 900 GROUP BY ALL")
+@query("m02_topology_canvas", "SELECT CAST(floor((a.x + (k / 9) * (b.x - a.x)) / 100) AS BIGINT) AS i, CAST(floor((a.y + (k / 9) * (b.y - a.y)) / 100) AS BIGINT) AS j, count(*) AS n FROM fx_edge JOIN fx_node a ON a.nid = u JOIN fx_node b ON b.nid = v, range(0, 10) r(k) WHERE s >= 600 GROUP BY ALL")
 def _(spark, sf):
-    return tiles.canvas(labels.with_ends(fx.edges(spark, sf).where("s > 900").select("u", "v"), fx.nodes(spark, sf)), 100)
+    return tiles.canvas(labels.with_ends(fx.edges(spark, sf).where("s >= 600").select("u", "v"), fx.nodes(spark, sf)), 100)
 
 
 # ---- sorts, sets -------------------------------------------------------------------------
@@ -658,7 +706,7 @@ def _(spark, sf):
 
 @query("t04_top_components", f"WITH {REACH} SELECT component, n FROM (SELECT component, count(*) AS n FROM comp GROUP BY component ORDER BY n DESC, component LIMIT 10)")
 def _(spark, sf):
-    c = graph.connected_components(_sparse(spark, sf)).groupBy("component").agg(F.count("*").alias("n"))
+    c = graph.connected_components(_network(spark, sf)).groupBy("component").agg(F.count("*").alias("n"))
     return c.orderBy(F.col("n").desc(), "component").limit(10)
 
 

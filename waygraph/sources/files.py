@@ -91,6 +91,27 @@ def geojson_lines(features: DataFrame, geometry: str = "geometry") -> DataFrame:
     return parts.select("fid", "part", F.posexplode("l").alias("seq", "p")).select("fid", "part", "seq", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
 
 
+def read_network(spark: SparkSession, path: str) -> DataFrame:
+    """(fid, part, seq, x, y, epsg) of a line network: GeoJSON, or graph JSON (one line an edge).
+
+    epsg is the legacy crs member's, else 4326 where all coordinates lie within degrees,
+    else null. Longitude (or x) comes first; graph JSON has latitude first.
+    """
+    doc = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
+    graph = doc.where(F.col("value").rlike(r"^\s*\["))
+    nodes, edges = graph_json(graph.select(F.lit(0).alias("gid"), F.col("value").alias("doc")))
+    numbered = edges.select("u", "v", F.xxhash64("u", "v").alias("fid"))
+    ends = numbered.select("fid", F.posexplode(F.array("u", "v")).alias("seq", "id")).join(nodes.select("id", "lat", "lon"), "id")
+    lines = ends.select("fid", F.lit(0).alias("part"), "seq", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    other = doc.where(~F.col("value").rlike(r"^\s*\["))
+    feats = F.coalesce(F.from_json(F.get_json_object("value", "$.features"), "array<string>"), F.array("value"))
+    shapes = other.select(F.posexplode(feats).alias("fid", "f"), geojson_crs(F.col("value")).alias("crs"))
+    shaped = geojson_lines(shapes.select(F.col("fid").cast("long").alias("fid"), F.coalesce(F.get_json_object("f", "$.geometry"), F.col("f")).alias("geometry")))
+    every = shaped.unionByName(lines)
+    said = shapes.agg(F.max("crs").alias("said"))
+    return every.crossJoin(F.broadcast(sniff_crs(every))).crossJoin(F.broadcast(said)).select("fid", "part", "seq", "x", "y", F.coalesce("said", "epsg").alias("epsg"))
+
+
 def geojson_crs(doc: Column) -> Column:
     """EPSG number of a legacy crs member, else null."""
     return F.nullif(F.regexp_extract(F.get_json_object(doc, "$.crs.properties.name"), r"(\d+)$", 1), F.lit("")).cast("int")
