@@ -86,26 +86,45 @@ def od_rows(gt: R.Adjacency, xy_gt: dict, pred: R.Adjacency, xy_pred: dict, m: M
 OD = "graph_id long, direction string, s long, t long, gt_length double, gt_paths int, pred_paths int, matched boolean, routable boolean, od double, length double, geometry double, vanilla double"
 
 
-def evaluate_pairs(nodes: DataFrame, edges: DataFrame, metric: Metric, symmetric: bool = False) -> DataFrame:
-    """OD rows of every graph_id. nodes: graph_id, side (gt/pred), id, x, y; edges: graph_id, side, u, v, length."""
+def _both_graphs(nodes: DataFrame, edges: DataFrame, step, schema: str) -> DataFrame:
+    """``step(adj_gt, xy_gt, adj_pred, xy_pred)`` for each graph_id; its rows without graph_id."""
     kind = lambda k, cols: F.struct(*[F.lit(None).cast(t).alias(c) if c not in cols else cols[c].cast(t).alias(c) for c, t in (("a", "long"), ("b", "long"), ("p", "double"), ("q", "double"))])
     n = nodes.select("graph_id", "side", F.lit("n").alias("kind"), kind("n", {"a": F.col("id"), "p": F.col("x"), "q": F.col("y")}).alias("r"))
     e = edges.select("graph_id", "side", F.lit("e").alias("kind"), kind("e", {"a": F.col("u"), "b": F.col("v"), "p": F.col("length")}).alias("r"))
     both = n.unionByName(e).select("graph_id", "side", "kind", "r.*")
 
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = {}
+        args = []
         for side in ("gt", "pred"):
             own = pdf[pdf.side == side]
             es, ns = own[own.kind == "e"], own[own.kind == "n"]
-            g[side] = R.adjacency(zip(es.a.astype(int), es.b.astype(int), es.p, strict=True)), {int(i): (x, y) for i, x, y in sorted(zip(ns.a, ns.p, ns.q, strict=True))}
-        rows = []
-        for direction, a, b in (("forward", "gt", "pred"), ("reverse", "pred", "gt")):
-            if direction == "forward" or symmetric:
-                rows += [{"graph_id": int(pdf.graph_id.iloc[0]), "direction": direction, **r} for r in od_rows(*g[a], *g[b], metric)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in OD.split(", ")])
-
-    return both.groupBy("graph_id").applyInPandas(run, OD)
+            args += [R.adjacency(zip(es.a.astype(int), es.b.astype(int), es.p, strict=True)), {int(i): (x, y) for i, x, y in sorted(zip(ns.a, ns.p, ns.q, strict=True))}]
+        out = pd.DataFrame([{"graph_id": int(pdf.graph_id.iloc[0]), **r} for r in step(*args)], columns=names)
+        return out.astype({"matched": "Int64"}) if "point" in names else out
+
+    return both.groupBy("graph_id").applyInPandas(run, schema)
+
+
+def evaluate_pairs(nodes: DataFrame, edges: DataFrame, metric: Metric, symmetric: bool = False) -> DataFrame:
+    """OD rows of every graph_id. nodes: graph_id, side (gt/pred), id, x, y; edges: graph_id, side, u, v, length."""
+
+    def step(gt, xy_gt, pred, xy_pred):
+        rows = [{"direction": "forward", **r} for r in od_rows(gt, xy_gt, pred, xy_pred, metric)]
+        return rows + ([{"direction": "reverse", **r} for r in od_rows(pred, xy_pred, gt, xy_gt, metric)] if symmetric else [])
+
+    return _both_graphs(nodes, edges, step, OD)
+
+
+def match_rows(nodes: DataFrame, edges: DataFrame, metric: Metric) -> DataFrame:
+    """(graph_id, point, matched): the reference's control points and their nodes of the prediction, or null."""
+
+    def step(gt, xy_gt, pred, xy_pred):
+        points = R.control_points(gt, xy_gt, metric.spacing, metric.points)
+        return [{"point": p, "matched": m} for p, m in R.match_points(points, xy_gt, pred, xy_pred, metric.tolerance, metric.hops).items()]
+
+    return _both_graphs(nodes, edges, step, "graph_id long, point long, matched long").withColumn("matched", F.col("matched").cast("long"))
 
 
 def mean_or_zero(x: Column, where: Column | None = None) -> Column:

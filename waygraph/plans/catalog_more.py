@@ -13,6 +13,7 @@ from waygraph.operators import fuse, graph, labels, merge, nms, patches, spatial
 from waygraph.plans import fixtures as fx
 from waygraph.plans.catalog import QUERIES, m, micro, query
 from waygraph.plans.storage import shared_dir, stored
+from waygraph.sources import sinks
 from waygraph.streaming import resume
 
 T = fx.table
@@ -649,6 +650,17 @@ def _(spark, sf):
     return s.agg(F.count("*").alias("tiles"), micro(F.avg("combined_strict")).alias("macro"), micro(ev.weighted_mean(F.col("combined_strict"), w)).alias("weighted"))
 
 
+@query("j08_match_points")
+def _(spark, sf):
+    return ev.match_rows(*_pair(spark, sf), METRIC)
+
+
+@query("g21_balanced_points")
+def _(spark, sf):
+    n, e = _ring_graphs(spark, sf)
+    return tiles.control_rows(n, e, 100.0, 8)
+
+
 @query("g28_hausdorff")
 def _(spark, sf):
     return tiles.line_distances(fx.polylines(spark, sf))
@@ -751,6 +763,14 @@ def _(spark, sf):
     return T(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
 
 
+@query("k01_saved_graph", "SELECT tile, count(*) AS n, CAST(sum(s) AS BIGINT) AS s FROM fx_edge GROUP BY tile")
+def _(spark, sf):
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    sinks.save_graph(fx.nodes(spark, sf).withColumnRenamed("tile", "tile_id"), fx.edges(spark, sf).withColumnRenamed("tile", "tile_id"), path)
+    back = spark.read.schema("u long, v long, s long, t int, tile_id long").parquet(f"{path}/edges")
+    return back.groupBy(F.col("tile_id").alias("tile")).agg(F.count("*").alias("n"), F.sum("s").alias("s"))
+
+
 # ---- resuming ----------------------------------------------------------------------------
 
 
