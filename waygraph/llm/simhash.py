@@ -245,9 +245,13 @@ def choose(fps: DataFrame, tau: int) -> tuple[list[list[int]], list[int]]:
     return plans[m], chosen
 
 
-def probe_keys(fps: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(fp, node, probe, value): each part's value with each choice of left-out bits."""
-    probes = [[b for b in part if b not in out] for part, t in zip(parts, thresholds, strict=True) if t >= 0 for out in combinations(part, t)]
+def probe_bits(parts: list[list[int]], thresholds: list[int]) -> list[list[int]]:
+    """The bits that each probe looks at: a part without each choice of as many bits as its threshold."""
+    return [[b for b in part if b not in out] for part, t in zip(parts, thresholds, strict=True) if t >= 0 for out in combinations(part, t)]
+
+
+def probe_keys(fps: DataFrame, probes: list[list[int]]) -> DataFrame:
+    """(fp, node, probe, value): the value of each probe's bits."""
 
     def run(batches):
         for batch in batches:
@@ -290,12 +294,22 @@ def _forest(fp: np.ndarray, block: np.ndarray, tau: int, nearest: bool) -> tuple
     return a, b
 
 
-def links(keys: DataFrame, tau: int, group: int = GROUP, nearest: bool = False) -> DataFrame:
+def _first_meeting(differ: np.ndarray, probe: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Is ``probe`` the first of the probes at which a pair with these differing bits meets?"""
+    met = np.full(len(differ), len(masks), np.int64)
+    for k in range(len(masks) - 1, -1, -1):
+        met[(differ & masks[k]) == 0] = k
+    return met == probe
+
+
+def links(keys: DataFrame, tau: int, probes: list[list[int]], group: int = GROUP, nearest: bool = False) -> DataFrame:
     """Links (u, v) of nodes that share a probe key and differ in at most ``tau`` bits.
 
     Small groups give all their links, larger ones a spanning forest of them and, with
-    ``nearest``, each node's link to its nearest one.
+    ``nearest``, each node's link to its nearest one. A pair that meets at several probes
+    is linked at the first: there it is connected, and so is each node with its nearest.
     """
+    masks = np.array([sum(1 << b for b in p) for p in probes], np.uint64)
     sizes = keys.groupBy("probe", "value").agg(F.count("*").alias("n")).where(F.col("n") > group)
     blocks = F.coalesce(F.ceil(F.col("n") / F.lit(group / 2)).cast("int"), F.lit(1))
     dealt = (
@@ -304,37 +318,40 @@ def links(keys: DataFrame, tau: int, group: int = GROUP, nearest: bool = False)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         # each two blocks meet, and each block meets itself
-        .select("fp", "node", "block", F.xxhash64("probe", "value", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
+        .select("fp", "node", "probe", "block", F.xxhash64("probe", "value", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
     )
 
-    def flush(key, fp, node, block):
+    def flush(key, fp, node, probe, block):
         if not len(key):
             return None
         u, v = [], []
+
+        def put(a, b):
+            good = _first_meeting(fp[a] ^ fp[b], probe[a], masks)
+            u.append(node[a[good]])
+            v.append(node[b[good]])
+
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         size = np.diff(cut)
-        few = np.repeat(size <= SMALL, size)
-        k, f, n = key[few], fp[few], node[few]
+        few = np.flatnonzero(np.repeat(size <= SMALL, size))
+        k, f = key[few], fp[few]
         for o in range(1, min(SMALL, len(k))):
-            hit = (k[o:] == k[:-o]) & (np.bitwise_count(f[o:] ^ f[:-o]) <= tau)
-            u.append(n[o:][hit])
-            v.append(n[:-o][hit])
+            hit = np.flatnonzero((k[o:] == k[:-o]) & (np.bitwise_count(f[o:] ^ f[:-o]) <= tau))
+            put(few[hit + o], few[hit])
         for at, count in zip(cut[:-1][size > SMALL], size[size > SMALL], strict=True):
-            own = slice(at, at + count)
-            a, b = _forest(fp[own], block[own], tau, nearest)
-            u.append(node[own][a])
-            v.append(node[own][b])
+            a, b = _forest(fp[at : at + count], block[at : at + count], tau, nearest)
+            put(np.array(a, np.int64) + at, np.array(b, np.int64) + at)
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
         return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64))], names=["u", "v"])
 
     def run(batches):
-        rest = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        rest = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
         for batch in batches:
-            cols = (batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy(), batch.column("block").to_numpy())
-            cols = tuple(np.concatenate(x) for x in zip(rest, cols, strict=True))
+            cols = tuple(batch.column(c).to_numpy() for c in ("key", "fp", "node", "probe", "block"))
+            cols = tuple(np.concatenate((x, y.view(np.uint64) if i == 1 else y)) for i, (x, y) in enumerate(zip(rest, cols, strict=True)))
             last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last group may go on
-            if last:
-                yield flush(*(c[:last] for c in cols))
+            if last and (out := flush(*(c[:last] for c in cols))) is not None:
+                yield out
             rest = tuple(c[last:] for c in cols)
         if (out := flush(*rest)) is not None:
             yield out
@@ -367,7 +384,8 @@ def components(docs: DataFrame, tau: int = 3, width: int = 3, similarity: float
     extra = [F.first("sketch").alias("sketch")] if verify else []
     nodes = stored(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), *extra), "simhash-nodes")
     parts, thresholds = choose(nodes, tau)
-    near = links(probe_keys(nodes, parts, thresholds), tau, nearest=verify)
+    probes = probe_bits(parts, thresholds)
+    near = links(probe_keys(nodes, probes), tau, probes, nearest=verify)
     if verify:
         near = alike(stored(near.distinct(), "simhash-links"), nodes, similarity)
     found = connected_components(near)
