@@ -32,6 +32,8 @@ from waygraph.operators.graph import canonical, connected_components
 BITS, SEED = 64, 42
 GROUP = 8192
 SMALL = 16
+#: Bits that a probe looks at, at least; with fewer it would compare all with all.
+LEAST_BITS = 8
 SKETCH = 256
 #: Seconds for a compared pair and for a probe key, roughly; only their ratio matters.
 PAIR_COST, KEY_COST = 4e-9, 2e-6
@@ -196,7 +198,7 @@ def part_cost(total: int, pairs: float, ratios: np.ndarray, threshold: int) -> f
     if threshold < 0:
         return 0.0
     w = len(ratios)
-    if threshold > w:
+    if threshold > w - LEAST_BITS:  # too few bits left to tell fingerprints apart
         return float("inf")
     keys, met = 1.0, 1.0
     for t in range(threshold):
