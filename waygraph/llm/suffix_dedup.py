@@ -290,7 +290,7 @@ def counted_ranges(found: DataFrame, length: int) -> DataFrame:
 def ranges(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     """(doc_id, tkey, s, e): starts s..e of strings that occur elsewhere too."""
     marked = stored(anchors(docs, length), "anchors")
-    classes = marked.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min_by(F.struct("doc_id", "tkey", "a", "lo", "hi"), F.struct("doc_id", "tkey", "a")).alias("rep"))
+    classes = marked.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tkey", "a", "lo", "hi")).alias("rep"))
     shared = stored(classes.select("gram", "ctx", "n", "rep.*"), "classes")
     grams = shared.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
     full = marked.join(shared.where("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select("doc_id", "tkey", F.col("lo").alias("s"), F.col("hi").alias("e"))
