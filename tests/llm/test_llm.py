@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from waygraph.llm import bpe, decontaminate, hilbert, htmltext, pii, registry, secrets, simhash, suffix_dedup, topk, toxicity
+from waygraph.llm import alike, bpe, decontaminate, hilbert, htmltext, pii, registry, secrets, simhash, suffix_dedup, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, doc_ string, start int, kind string, fp string"
@@ -135,6 +135,45 @@ def test_one_of_each(spark):
     assert kept == set(range(10))
 
 
+def five(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    return len(five(a) & five(b)) / len(five(a) | five(b))
+
+
+def plain_groups(texts):
+    """Least index of each text's group: all pairs compared."""
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def survivors(spark, texts):
+    return sorted(r["doc_id"] for r in simhash.one_of_each(frame(spark, texts)).collect())
+
+
+def test_cut_and_lengthened_copies_are_found(spark):
+    rnd = random.Random(11)
+    more = lambda n: [f"w{rnd.randint(0, 9999)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        w = more(rnd.randint(40, 600))
+        n = len(w)
+        share = rnd.uniform(0.82, 0.9)
+        at = rnd.randrange(n)
+        texts += [" ".join(x) for x in (w, w[: int(n * share) + 1], w + more(int(n * (1 / share - 1))), w[:at] + more(int(n * 0.1)) + w[at:])]
+    want = plain_groups(texts)
+    assert len(set(want)) < 0.4 * len(texts)
+    assert survivors(spark, texts) == sorted(set(want))
+
+
 # ---- 3 ---------------------------------------------------------------------------------
 
 

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waygraph.llm import alike as sets
 from waygraph.llm.common import free, only, stored
 from waygraph.operators.graph import canonical, connected_components
 
@@ -397,14 +398,17 @@ def components(docs: DataFrame, tau: int = 3, width: int = 3, similarity: float
     return rows.join(by_node, "node").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, tau: int = 10, width: int = 2, similarity: float = 0.75) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of least doc_id.
+def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of least doc_id.
 
-    The default links texts of 0.8 or more; 0.05 is for the sketch's error. Rows without
-    doc_id stay only where their whole group has none.
+    Texts are linked whose ``width``-word shingle sets have this Jaccard similarity; which
+    ones is found and decided exactly (``alike``), as few differing bits would miss copies
+    that are cut or lengthened. Rows without doc_id stay only where their whole group has none.
     """
     (doc,) = free(docs, "doc_")
-    kept = components(docs, tau, width, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(doc)).distinct()
+    rows = docs.select("doc_id", sets.text_key().alias("node"))
+    named = rows.join(sets.groups(docs, similarity, width), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = stored(named.groupBy("root").agg(F.min("doc_id").alias(doc)).select(doc).distinct(), "near-kept")
     some = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(doc), "left_semi").dropDuplicates(["doc_id"])
     none = docs.where("doc_id IS NULL").join(kept.where(F.col(doc).isNull()).limit(1), F.lit(True), "left_semi")
     return some.unionByName(none)
