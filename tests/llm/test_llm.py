@@ -174,6 +174,25 @@ def test_cut_and_lengthened_copies_are_found(spark):
     assert survivors(spark, texts) == sorted(set(want))
 
 
+@pytest.mark.parametrize("group", [alike.GROUP, 8])
+def test_groups_equal_all_pairs(spark, monkeypatch, group):
+    """Many variants of few texts, in which a true pair's nearest neighbours are often no true pairs."""
+    monkeypatch.setattr(alike, "GROUP", group)
+    rnd = random.Random(12)
+    common = [f"c{i}" for i in range(30)]  # a passage that all have, so that groups are large
+    texts = []
+    for k in range(4):
+        w = [f"{k}w{i}" for i in range(60)] + common
+        for _ in range(30):
+            x = list(w)
+            for _ in range(rnd.randint(0, 4)):
+                x[rnd.randrange(len(x))] = f"n{rnd.random()}"
+            texts.append(" ".join(x))
+    want = plain_groups(texts)
+    assert 4 < len(set(want)) < 100
+    assert survivors(spark, texts) == sorted(set(want))
+
+
 # ---- 3 ---------------------------------------------------------------------------------
 
 

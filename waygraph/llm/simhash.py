@@ -89,26 +89,15 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(either == 0, 1.0, equal / np.maximum(either, 1))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, verify: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and node, what counts as one text.
-
-    Without ``verify`` a node is a fingerprint; with it shingles count once in the
-    fingerprint, and a node is a fingerprint with a sketch.
-    """
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and node, what counts as one text: fp."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), width, verify) for t in batch.column("text")], np.uint64).view(np.int64)
-            cols, names = [batch.column("doc_id").cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"]
-            if verify:
-                marks = [sketch(t.as_py()) for t in batch.column("text")]
-                node = np.array([xxhash.xxh3_64_intdigest(m, f & 0xFFFFFFFF) for m, f in zip(marks, fps.tolist(), strict=True)], np.uint64).view(np.int64)
-                cols, names = [*cols, pa.array(node), pa.array(marks, pa.binary())], [*names, "node", "sketch"]
-            else:
-                cols, names = [*cols, pa.array(fps)], [*names, "node"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            fps = np.array([fingerprint(t.as_py(), width) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps), pa.array(fps)], names=["doc_id", "fp", "node"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long, node long" + ", sketch binary" * verify)
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long, node long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -376,22 +365,13 @@ def alike(found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return canonical(found).join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def components(docs: DataFrame, tau: int = 3, width: int = 3, similarity: float | None = None) -> DataFrame:
-    """doc_id, fp and component_id (least doc_id reachable over links) for every row.
-
-    ``similarity``: links also need this Jaccard similarity of their texts' five-word
-    shingle sets, as estimated by sketches (standard error under 0.03).
-    """
-    verify = similarity is not None
-    rows = stored(fingerprints(docs, width, verify), "simhash")
-    extra = [F.first("sketch").alias("sketch")] if verify else []
-    nodes = stored(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), *extra), "simhash-nodes")
+def components(docs: DataFrame, tau: int = 3, width: int = 3) -> DataFrame:
+    """doc_id, fp and component_id (least doc_id reachable over links) for every row."""
+    rows = stored(fingerprints(docs, width), "simhash")
+    nodes = stored(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     parts, thresholds = choose(nodes, tau)
     probes = probe_bits(parts, thresholds)
-    near = links(probe_keys(nodes, probes), tau, probes, nearest=verify)
-    if verify:
-        near = alike(stored(near.distinct(), "simhash-links"), nodes, similarity)
-    found = connected_components(near)
+    found = connected_components(links(probe_keys(nodes, probes), tau, probes))
     named = nodes.join(found, nodes["node"] == found["id"], "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = stored(named.join(roots, "root").select("node", "component_id"), "simhash-components")
