@@ -193,6 +193,17 @@ def test_groups_equal_all_pairs(spark, monkeypatch, group):
     assert survivors(spark, texts) == sorted(set(want))
 
 
+def test_links_are_decided_at_the_limit(spark):
+    rnd = random.Random(13)
+    texts, want = [], []
+    for k in range(40):
+        w = [f"{k}w{rnd.random()}" for _ in range(84)]  # 80 shingles; 20 more are just alike, 21 more are not
+        n = 20 if k % 2 else 21
+        want += [2 * k] if k % 2 else [2 * k, 2 * k + 1]
+        texts += [" ".join(w), " ".join(w + [f"x{rnd.random()}" for _ in range(n)])]
+    assert survivors(spark, texts) == want
+
+
 # ---- 3 ---------------------------------------------------------------------------------
 
 

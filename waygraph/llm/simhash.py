@@ -26,22 +26,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.llm import alike as sets
+from waygraph.llm import alike
 from waygraph.llm.common import free, only, stored
-from waygraph.operators.graph import canonical, connected_components
+from waygraph.operators.graph import connected_components
 
 BITS, SEED = 64, 42
 GROUP = 8192
 SMALL = 16
 #: Bits that a probe looks at, at least; with fewer it would compare all with all.
 LEAST_BITS = 8
-SKETCH = 256
 #: Seconds for a compared pair and for a probe key, roughly; only their ratio matters.
 PAIR_COST, KEY_COST = 4e-9, 2e-6
 
 
-def fingerprint(text: str | None, width: int = 3, once: bool = False) -> int:
-    """Bit i is 1 if it is set in over half the shingles' XXH64 (repeats included; not if ``once``)."""
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Bit i is 1 if it is set in over half the shingles' XXH64 (repeats included)."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both: ASCII only
     if not words:
         return 0
@@ -52,7 +51,6 @@ def fingerprint(text: str | None, width: int = 3, once: bool = False) -> int:
     starts = np.concatenate(([0], ends[:-1])).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=False)], np.uint64)
-    hashes = np.unique(hashes) if once else hashes
     half = len(hashes)
     count = np.zeros(BITS, np.int64)
     for at in range(0, half, 1 << 16):  # 64 bytes a shingle
@@ -61,34 +59,6 @@ def fingerprint(text: str | None, width: int = 3, once: bool = False) -> int:
     return int(np.packbits(count * 2 > half, bitorder="little").view(np.uint64)[0])
 
 
-def sketch(text: str | None, width: int = 5, bins: int = SKETCH) -> bytes:
-    """One-permutation min-hash of the shingle set: a byte a bin, 0 where no shingle falls."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return bytes(bins)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        h = np.array([digest(b" ".join(words), SEED)], np.uint64)
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1])).tolist()
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=False)], np.uint64)
-    h.sort()  # the top byte is the bin, so the first of a bin is its least
-    top = (h >> np.uint64(56)).astype(np.int64) % bins
-    at = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
-    out = np.zeros(bins, np.uint8)
-    out[top[at]] = (h[at] % np.uint64(255)).astype(np.uint8) + 1
-    return out.tobytes()
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimates from rows of two sketch matrices; two empty sets are alike."""
-    either = ((a > 0) | (b > 0)).sum(axis=1)
-    equal = ((a == b) & (a > 0)).sum(axis=1)
-    return np.where(either == 0, 1.0, equal / np.maximum(either, 1))
-
-
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and node, what counts as one text: fp."""
 
@@ -351,20 +321,6 @@ def links(keys: DataFrame, tau: int, probes: list[list[int]], group: int = GROUP
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
-def alike(found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links whose ends' sketches estimate a Jaccard similarity of at least ``similarity``."""
-    a = nodes.select(F.col("node").alias("u"), F.col("sketch").alias("su"))
-    b = nodes.select(F.col("node").alias("v"), F.col("sketch").alias("sv"))
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("su", "sv"))
-            good = pa.array(jaccard(x, y) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(good), batch.column("v").filter(good)], names=["u", "v"])
-
-    return canonical(found).join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
-
-
 def components(docs: DataFrame, tau: int = 3, width: int = 3) -> DataFrame:
     """doc_id, fp and component_id (least doc_id reachable over links) for every row."""
     rows = stored(fingerprints(docs, width), "simhash")
@@ -386,8 +342,8 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     that are cut or lengthened. Rows without doc_id stay only where their whole group has none.
     """
     (doc,) = free(docs, "doc_")
-    rows = docs.select("doc_id", sets.text_key().alias("node"))
-    named = rows.join(sets.groups(docs, similarity, width), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = docs.select("doc_id", alike.text_key().alias("node"))
+    named = rows.join(alike.groups(docs, similarity, width), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = stored(named.groupBy("root").agg(F.min("doc_id").alias(doc)).select(doc).distinct(), "near-kept")
     some = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(doc), "left_semi").dropDuplicates(["doc_id"])
     none = docs.where("doc_id IS NULL").join(kept.where(F.col(doc).isNull()).limit(1), F.lit(True), "left_semi")
