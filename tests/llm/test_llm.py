@@ -431,6 +431,17 @@ def test_decontamination(spark, size):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 == decontaminate.contaminated(docs.limit(0), bench).count()
 
 
+def test_edited_copies_beside_many_exact_ones(spark):
+    rnd = random.Random(14)
+    w = [f"w{i}" for i in range(38)]
+    around = lambda x: " ".join([*(f"v{rnd.random()}" for _ in range(20)), *x, *(f"v{rnd.random()}" for _ in range(20))])
+    edited = [[f"n{i}" if i in at else x for i, x in enumerate(w)] for at in (range(4, 38, 6), range(3, 38, 4))]
+    docs = frame(spark, [around(w) for _ in range(30)] + [around(x) for x in edited] + [around(w[:8])])
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    got = {r["doc_id"]: r["similarity"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == set(range(32)) and all(0.6 <= got[i] < 0.8 for i in (30, 31))
+
+
 # ---- 10 --------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>

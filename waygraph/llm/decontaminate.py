@@ -2,10 +2,11 @@
 
 One scan of the documents finds every benchmark n-gram and cuts the window around it that
 an aligned copy would fill. How often each n-gram occurs in the whole corpus then says
-which are rare: those under ``RARE_SHARE`` of the documents, and in any case the rarer
-half of each item's (so that an item that leaked into very many documents keeps its
-seeds). Windows with a rare seed are aligned; a copy is one whose score reaches
-``SIMILARITY`` of the item's score against itself.
+which are rare: those under ``RARE_SHARE`` of the documents. Windows with a rare seed are
+aligned, and so is each other window that has enough of the item's words to be a copy (an
+item that leaked into very many documents has no rare n-gram); a text that many windows
+share is aligned once a batch. A copy is one whose score reaches ``SIMILARITY`` of the
+item's score against itself.
 
 The items' n-grams go to the workers in passes of at most ``PASS`` n-grams.
 
@@ -17,7 +18,7 @@ result; other columns are ignored; texts of any length are scanned whole.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -137,20 +138,31 @@ def _score(found: DataFrame, shared, rare, similarity: float) -> DataFrame:
         seeds, good = shared.value, rare.value
         number: dict[str, int] = {}
         own = [np.array([number.setdefault(x, len(number)) for x in w], np.int64) for _, w in seeds.items]
+        bags = [Counter(w) for _, w in seeds.items]
+
+        def enough(item: int, window: str) -> bool:
+            """Could the words that both have reach the similarity, if all were aligned?"""
+            return (Counter(window.split(" ")) & bags[item]).total() >= similarity * len(own[item]) - 1e-9
+
         for batch in batches:
-            rows = [r for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True) if any(g in good for g in r[3])]
-            rows.sort(key=lambda r: (len(own[r[2]]), len(r[4])))
+            same: dict[tuple[int, str], list] = defaultdict(list)
+            seeded = set()
+            for doc, key, item, found_grams, window in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                same[item, window].append((doc, key))
+                if any(g in good for g in found_grams):
+                    seeded.add((item, window))
+            rows = sorted((k for k in same if k in seeded or enough(*k)), key=lambda k: (len(own[k[0]]), len(k[1])))
             at = 0
             out = []
             while at < len(rows):
-                width = max(len(own[rows[at][2]]), len(rows[at][4]) // 2 + 1)
+                width = max(len(own[rows[at][0]]), len(rows[at][1]) // 2 + 1)
                 some = rows[at : at + max(1, BATCH_CELLS // width)]
                 at += len(some)
-                best = align([(own[r[2]], np.array([number.get(x, -3) for x in r[4].split(" ")], np.int64)) for r in some])
-                for r, s in zip(some, best.tolist(), strict=True):
-                    share = s / (MATCH * len(own[r[2]]))
+                best = align([(own[item], np.array([number.get(x, -3) for x in window.split(" ")], np.int64)) for item, window in some])
+                for (item, window), s in zip(some, best.tolist(), strict=True):
+                    share = s / (MATCH * len(own[item]))
                     if share >= similarity:
-                        out.append((r[0], r[1], seeds.items[r[2]][0], s, share))
+                        out += [(doc, key, seeds.items[item][0], s, share) for doc, key in same[item, window]]
             cols = list(zip(*out, strict=True)) or [[]] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "tkey", "item_id", "sw_score", "similarity"])
@@ -158,15 +170,11 @@ def _score(found: DataFrame, shared, rare, similarity: float) -> DataFrame:
     return found.mapInArrow(run, SCORED)
 
 
-def rare_grams(found: DataFrame, seeds: Seeds, documents: int) -> set[int]:
+def rare_grams(found: DataFrame, documents: int) -> set[int]:
     """Numbers of the pass's rare n-grams; counted over all windows of all documents."""
     counts = {r["g"]: r["n"] for r in found.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}  # at most PASS rows
     limit = max(RARE_LEAST, int(RARE_SHARE * documents))
-    rare = {g for g, n in counts.items() if n <= limit}
-    for _, w in seeds.items:
-        own = sorted({seeds.number[g] for g in grams(w, seeds.n)}, key=lambda g: (counts.get(g, 0), g))
-        rare.update(own[: (len(own) + 1) // 2])
-    return rare
+    return {g for g, n in counts.items() if n <= limit}
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = GRAM, similarity: float = SIMILARITY, size: int = PASS) -> DataFrame:
@@ -187,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = GRAM, similarit
             continue
         shared = spark.sparkContext.broadcast(seeds)
         found = stored(_scan(rows, shared), "seeds")
-        rare = spark.sparkContext.broadcast(rare_grams(found, seeds, documents))
+        rare = spark.sparkContext.broadcast(rare_grams(found, documents))
         done = _score(found, shared, rare, similarity)
         out = done if out is None else out.unionByName(done)
     if out is None:
