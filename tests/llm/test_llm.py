@@ -462,6 +462,12 @@ def test_pages(spark):
     assert htmltext.learn(pages.limit(0)) == {}
 
 
+def test_words_late_in_a_long_class_count():
+    many = " ".join(f"px-{i} mt-{i}" for i in range(20))
+    late = PAGE.replace('<div id="comments">', f'<div class="{many}" id="comments">')
+    assert late != PAGE and htmltext.extract(late, {}) == htmltext.extract(PAGE, {})
+
+
 def test_best_run_is_the_best():
     rnd = random.Random(5)
     for _ in range(200):

@@ -88,10 +88,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = shut.start() if shut else n
 
 
+def labels(rest: str) -> str:
+    """A tag's class, id and role."""
+    return " ".join(filter(None, (x for m in KEY.findall(rest) for x in m))).lower()
+
+
 def mark(name: str, rest: str) -> str:
-    """What a tag is scored as: its name with class, id and role."""
-    keys = " ".join(filter(None, (x for m in KEY.findall(rest) for x in m)))
-    return f"{name} {keys.lower()}"[:80] if keys else name
+    """What a tag is scored as: its name with the start of its class, id and role."""
+    keys = labels(rest)
+    return f"{name} {keys}"[:80] if keys else name
 
 
 class Page:
@@ -126,7 +131,7 @@ class Page:
             if name == "a":
                 links = 1 if kind == "open" else 0
             if kind == "open" and name in HOLD and name not in VOID and not rest.endswith("/"):
-                never = name in NEVER or bool(OUT_WORDS.search(key[len(name) :])) if name not in ("html", "body", "main") else False
+                never = name in NEVER or bool(OUT_WORDS.search(" " + labels(rest))) if name not in ("html", "body", "main") else False
                 self.parent.append(here)
                 self.name.append(name)
                 self.out.append(self.out[here] or never)
