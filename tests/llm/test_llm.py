@@ -269,6 +269,13 @@ def test_copied_values_are_examples(spark):
     assert out[12] == ("[SECRET]", 8) and out[0][0] == f"0 {value}"
 
 
+def test_secrets_of_rows_without_id(spark):
+    docs = frame(spark, ["token=Rk7Vn3Bq0Xs6Jh4P", "a password: Zt5Wq8Lm1Cx7Vb3N", "nothing"], [None, None, 3])
+    got = secrets.digest(secrets.scan(docs)).collect()
+    assert sorted((r["doc_id"] is None, r["n_assign"], r["n_live"]) for r in got) == [(False, 0, 0), (True, 1, 1), (True, 1, 1)]
+    assert sorted(r["text"] for r in secrets.redact(docs, secrets.scan(docs)).collect()) == ["[SECRET]", "a [SECRET]", "nothing"]
+
+
 # ---- 5 ---------------------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ a copied example; one that a few owners have and that looks random is live. Base
 (assign, access, hex) always stay; candidates of the other kinds stay where the counts
 make them live.
 
-Edge cases: a null or empty text has no spans; a null source counts as one owner of its
+Edge cases: a null or empty text has no spans; a row without doc_id gives a row like any
+other; a null source counts as one owner of its
 own; repeated rows give equal rows; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -123,7 +124,9 @@ def scan(docs: DataFrame, max_owners: int = 2) -> DataFrame:
     verdicts = judged.groupBy("doc_id", "tkey").agg(F.collect_set("v").alias("verdicts"))
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,live:boolean,owners:bigint,repos:bigint>>)")
     # rows without candidates need no join
-    hit = rows.where(F.size("found") + F.size("more") > 0).join(verdicts, ["doc_id", "tkey"])
+    named = verdicts.select(F.col("doc_id").alias("vdoc"), F.col("tkey").alias("vkey"), "verdicts")
+    same = F.col("doc_id").eqNullSafe(F.col("vdoc")) & (F.col("tkey") == F.col("vkey"))
+    hit = rows.where(F.size("found") + F.size("more") > 0).join(named, same)
     miss = rows.where(F.size("found") + F.size("more") == 0).withColumn("verdicts", none)
     out = hit.select(*miss.columns).unionByName(miss)
     return out.select("doc_id", "tkey", "found", "verdicts")
