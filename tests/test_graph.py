@@ -151,6 +151,12 @@ def test_nms_equals_the_greedy_pass(spark):
     assert sorted(tuple(r) for r in got) == sorted(kept)
 
 
+def test_nms_of_a_long_line(spark):
+    """Equal scores along a line: one point a round is accepted."""
+    line = spark.createDataFrame([(i, i, 0, 1) for i in range(140)], "id long, x long, y long, score long")
+    assert sorted(r["id"] for r in nms.suppress(line, 1).collect()) == list(range(0, 140, 2))
+
+
 def test_snap_of_nothing_changes_nothing(spark):
     nodes = spark.createDataFrame([(1, 0, 0), (2, 5, 5), (3, 9, 0)], "nid long, x long, y long")
     assert all(r["nid"] == r["cid"] for r in merge.snap_clusters(nodes, 1).collect())

@@ -7,6 +7,7 @@ the lexicographically first maximal independent set, which is what the greedy pa
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 from waygraph.operators.spatial import _sides, near_pairs
 from waygraph.plans.storage import stored
 
+#: Rounds whose points are put in one table, so that a long line of points keeps a short plan.
+MERGE = 32
 
-def suppress(points: DataFrame, radius, id_: str = "id", by: Sequence[str] = (), exempt: str | None = None, rounds: int = 64) -> DataFrame:
+
+def suppress(points: DataFrame, radius, id_: str = "id", by: Sequence[str] = (), exempt: str | None = None) -> DataFrame:
     """Rows of ``points`` (id, x, y, score) that are kept; ``exempt`` names a flag of rows never suppressed."""
     left, right = _sides(points, id_, by, "x", "y")
     rank = points.select(*by, F.col(id_).alias("a"), F.col("score").alias("sa"))
@@ -25,19 +29,18 @@ def suppress(points: DataFrame, radius, id_: str = "id", by: Sequence[str] = (),
     over = near_pairs(left, right, radius, by).where("a <> b").join(rank, [*by, "a"]).join(other, [*by, "b"])
     over = over.where("(sa > sb OR (sa = sb AND a < b)) AND NOT free").select(*by, "a", "b")
     over = stored(over, "nms-pairs")
-    open_ = stored(points.select(*by, F.col(id_).alias("n")), "nms-open")
+    # rows without id or group are in no join, so none of them is kept
+    open_ = stored(points.select(*by, F.col(id_).alias("n")).dropna(), "nms-open")
     kept = []
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():  # the highest open point is accepted, so each round leaves fewer
         live = over.join(open_.withColumnRenamed("n", "a"), [*by, "a"], "left_semi").join(open_.withColumnRenamed("n", "b"), [*by, "b"], "left_semi")
         taken = stored(open_.join(live.select(*by, F.col("b").alias("n")).distinct(), [*by, "n"], "left_anti"), "nms-kept")
         gone = live.join(taken.withColumnRenamed("n", "a"), [*by, "a"], "left_semi").select(*by, F.col("b").alias("n")).distinct()
         open_ = stored(open_.join(taken, [*by, "n"], "left_anti").join(gone, [*by, "n"], "left_anti"), "nms-open")
         kept.append(taken)
+        if len(kept) == MERGE:
+            kept = [stored(functools.reduce(DataFrame.unionByName, kept), "nms-kept")]
     if not kept:
         return points
-    out = kept[0]
-    for k in kept[1:]:
-        out = out.unionByName(k)
+    out = functools.reduce(DataFrame.unionByName, kept)
     return points.join(out.withColumnRenamed("n", id_), [*by, id_], "left_semi")
