@@ -204,6 +204,15 @@ def test_links_are_decided_at_the_limit(spark):
     assert survivors(spark, texts) == want
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    rnd = random.Random(15)
+    a, b, c, d = (" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(100)) for _ in range(4))
+    docs = frame(spark, [a, b, c, c + " more", c, d, d + " more", d], [1, 1, None, None, None, None, 7, None])
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.one_of_each(docs).collect()))
+    assert len(got) == 4 and {(1, a), (1, b), (7, d + " more")} < set(got)
+    assert got[0][0] == 0 and got[0][1] in (c, c + " more")
+
+
 # ---- 3 ---------------------------------------------------------------------------------
 
 

@@ -339,15 +339,17 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
 
     Texts are linked whose ``width``-word shingle sets have this Jaccard similarity; which
     ones is found and decided exactly (``alike``), as few differing bits would miss copies
-    that are cut or lengthened. Rows without doc_id stay only where their whole group has none.
+    that are cut or lengthened. A row is known by doc_id and text, so texts that share a
+    doc_id are told apart; a group without any doc_id keeps one row too.
     """
-    (doc,) = free(docs, "doc_")
+    doc, key, own = free(docs, "doc_", "key_", "own_")
     rows = docs.select("doc_id", alike.text_key().alias("node"))
     named = rows.join(alike.groups(docs, similarity, width), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = stored(named.groupBy("root").agg(F.min("doc_id").alias(doc)).select(doc).distinct(), "near-kept")
-    some = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(doc), "left_semi").dropDuplicates(["doc_id"])
-    none = docs.where("doc_id IS NULL").join(kept.where(F.col(doc).isNull()).limit(1), F.lit(True), "left_semi")
-    return some.unionByName(none)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    kept = named.groupBy("root").agg(first).select(F.col("first.doc_id").alias(doc), F.col("first.node").alias(key))
+    same = (alike.text_key() == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc))
+    one = docs.withColumn(own, alike.text_key()).join(stored(kept, "near-kept"), same, "left_semi").dropDuplicates([own])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_simhash_pigeonhole(spark, sf_dir: str) -> DataFrame:
