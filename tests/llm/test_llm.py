@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from waygraph.llm import alike, bpe, decontaminate, hilbert, htmltext, pii, registry, secrets, simhash, suffix_dedup, topk, toxicity
+from waygraph.llm import alike, bpe, decontaminate, hilbert, htmltext, passages, pii, registry, secrets, simhash, suffix_dedup, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, doc_ string, start int, kind string, fp string"
@@ -63,20 +63,67 @@ def test_dedup(spark, monkeypatch, hot):
     assert [got[i] for i in range(len(texts))] == repeats([(t or "").encode() for t in texts], 400)
 
 
-def test_merge_orders_and_prefixes():
-    rnd = random.Random(1)
-    data = [bytes(rnd.choice(b"ab") for _ in range(24)) for _ in range(60)]
-    group = np.array([i % 3 for i in range(60)])
-    sym = suffix_dedup.symbols(data, 24)
-    shards = [s[suffix_dedup.shard_transform(group[s], sym[s])] for s in (np.arange(0, 25), np.arange(25, 60))]
-    order, common = suffix_dedup.merge_transforms(group, sym, shards)
-    assert [(group[i], data[i]) for i in order] == sorted((group[i], data[i]) for i in range(60))
-    for k in range(1, 60):
+def strings(n, width, seed):
+    rnd = random.Random(seed)
+    data = [bytes(rnd.choice(b"ab") for _ in range(width)) for _ in range(n)]
+    return [data[i // 2] if i % 3 == 0 else x for i, x in enumerate(data)], np.array([i % 3 for i in range(n)])
+
+
+@pytest.mark.parametrize(("n", "width", "cuts"), [(60, 24, [0, 25, 60]), (300, 40, [0, 100, 101, 300]), (5, 8, [0, 5])])
+def test_merge_orders_and_prefixes(n, width, cuts):
+    data, group = strings(n, width, 1)
+    sym = suffix_dedup.symbols(data, width)
+    order, common = suffix_dedup.merge_shards(group, sym, [np.arange(a, b) for a, b in zip(cuts, cuts[1:], strict=False)])
+    assert [(group[i], data[i]) for i in order] == sorted((group[i], data[i]) for i in range(n))
+    for k in range(1, n):
         a, b = order[k - 1], order[k]
-        same = next((j for j in range(24) if data[a][j] != data[b][j]), 24)
+        same = next((j for j in range(width) if data[a][j] != data[b][j]), width)
         assert common[k] == (same if group[a] == group[b] else -1)
 
 
+def test_merge_reads_the_shards_orders():
+    data, group = strings(80, 24, 2)
+    sym = np.concatenate([group[:, None].astype(np.uint64), suffix_dedup.symbols(data, 24)], axis=1)
+    one, two = (suffix_dedup.shard_transform(sym, s) for s in (np.arange(40), np.arange(40, 80)))
+    right = suffix_dedup.merge(one, two).rows.tolist()
+    assert [(group[i], data[i]) for i in right] == sorted((group[i], data[i]) for i in range(80))
+    # a shard whose suffixes are in another order can't be interleaved
+    turned = suffix_dedup.Transform([x[::-1] for x in one.last], [x[::-1] for x in one.step], one.rows[::-1])
+    with pytest.raises(ValueError):
+        suffix_dedup.merge(turned, two)
+
+
+def plain_passages(texts, ids, size=51):
+    holds = collections.defaultdict(set)
+    for i, t in zip(ids, texts, strict=True):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for k in range(len(w) - size + 1):
+            holds[tuple(w[k : k + size])].add((i, t))
+    return {x for xs in holds.values() if len(xs) > 1 for x in xs}
+
+
+def test_passages(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 700)
+    monkeypatch.setattr(passages, "WINDOWS", 400)
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 5)))
+    text = lambda n: [word() for _ in range(n)]
+    whole = text(400)
+    texts = []
+    for n in (49, 50, 51, 52, 60, 120):
+        part = whole[n : 2 * n]
+        texts += [" ".join(text(rnd.randint(0, 90)) + part + text(rnd.randint(0, 90))), "\n".join(text(rnd.randint(0, 90)) + part)]
+    twice = text(70)
+    texts += [" ".join(twice + ["x"] + twice), " ".join(["a"] * 60), " ".join(["a"] * 300), " ".join(whole), None, "", texts[2], "é" * 3000]
+    ids = [*range(len(texts) - 2), None, None]
+    got = {(r["doc_id"], r["tkey"]) for r in passages.shared(frame(spark, texts, ids).select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey")).fillna(-1, ["doc_id"])).collect()}
+    keys = {t: r for t, r in zip(texts, [r[0] for r in frame(spark, texts, ids).select(F.xxhash64(F.coalesce("text", F.lit("")))).collect()], strict=True)}
+    assert got == {(-1 if i is None else i, keys[t]) for i, t in plain_passages(texts, ids)}
+    # fewer bytes than are removed, and yet told
+    out = {r["doc_id"]: (r["n_removed"], r["shares_passage"]) for r in suffix_dedup.dedup(frame(spark, texts[:12])).collect()}
+    assert [out[i][1] for i in range(12)] == [0, 0, 0, 0, *[1] * 8] and out[4][0] == 0
+
+
 def test_dedup_of_nothing(spark):
     assert suffix_dedup.dedup(frame(spark, [])).count() == 0
 

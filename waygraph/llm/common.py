@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waygraph.plans.storage import shared_dir, stored
 
-__all__ = ["free", "joined", "matches", "only", "shared_dir", "stored"]
+__all__ = ["free", "joined", "matches", "only", "shared_dir", "stored", "swept"]
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets executors drop the shuffle files of steps that are done and stored.
+
+    Spark drops them when the driver finds their plans in its garbage, by itself every
+    half hour; a step that moves much data is better begun without them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 Every 400-byte string has an anchor: the place in it whose 32-byte gram has the least
 hash. Equal strings have their anchors at equal places, so only suffixes that begin at
-anchors need an order (about one byte in 185). A shard keeps its anchored suffixes in
-order, each with the text before it, read backwards: its transform. Transforms are merged
-by refining their interleave: one pass takes the next symbol (eight bytes) of the
-suffixes that are still tied and splits their blocks, each shard's own order standing;
-no shard is sorted again. Where a block splits, the common prefix of its two sides is
-known to the byte. The same, done with the preceding text, gives common suffixes. For
-each distance d from string start to anchor, the repeated intervals are the blocks with
-d equal bytes before and 400 - d equal bytes from the anchor on.
+anchors need an order (about one byte in 185). The text from an anchor on is a string of
+eight-byte symbols. A shard keeps the transform of its strings: for each length of suffix
+the symbols that come before, in the suffixes' order. Shards are merged two by two by
+refining the interleave of their orders (``merge``): it begins with suffixes of no symbols
+and each pass lengthens them by one, reading both transforms as they are; neither side's
+suffixes are sorted again. The passes over the merged transform say how much neighbours
+have in common (``common_symbols``). The same, done with the preceding text read
+backwards, gives common suffixes. For each distance d from string start to anchor, the
+repeated intervals are those with d equal bytes before and 400 - d equal bytes from the
+anchor on.
 
 What keeps it in proportion: anchors whose gram is alone in the corpus are done at once;
 anchors with the same surroundings (all strings that they stand for) are counted, and one
@@ -17,8 +19,9 @@ stands for all; only the rest is merged, by gram. A gram with more than ``HOT``
 surroundings is not brought to one task: its strings are counted one by one.
 
 Edge cases: a null text is empty; texts under 400 bytes keep all; repeated rows (doc_id
-and text alike) are documents of their own and repeat each other; an empty table gives an
-empty result; other columns are ignored; long texts are taken in pieces.
+and text alike) are documents of their own and repeat each other; a null doc_id is a value
+like any other; an empty table gives an empty result; other columns are ignored; long
+texts are taken in pieces.
 """
 
 from __future__ import annotations
@@ -32,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import only, stored
+from waygraph.llm import passages
+from waygraph.llm.common import only, stored, swept
 
 LENGTH, GRAM = 400, 32
 CHUNK = 2 << 20
 #: Surroundings of one gram that a task still merges: about 20 MB of text.
 HOT = 32768
+#: Strings of a shard whose transform is built at once.
 SHARD = 1024
 #: Bytes of surroundings that a task merges at once.
 MERGE_BYTES = 4 << 20
@@ -146,59 +151,155 @@ def symbols(rows: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(flat, ">u8").reshape(len(rows), cols).astype(np.uint64)
 
 
-def shard_transform(group: np.ndarray, sym: np.ndarray) -> np.ndarray:
-    """A shard's order of its own suffixes, by group and symbols."""
-    return np.lexsort([*(sym[:, c] for c in reversed(range(sym.shape[1]))), group])
+class Transform:
+    """Burrows-Wheeler transform of strings of equal length, a row of suffixes for each length.
 
+    ``last[o][j]``: the symbol before the jth of the suffixes that begin at place o + 1, in
+    their order; ``step[o][j]``: the place of the suffix that this symbol lengthens, in the
+    order of those that begin at o. ``rows``: the strings in order (whole strings begin at 0).
+    """
+
+    def __init__(self, last: list[np.ndarray], step: list[np.ndarray], rows: np.ndarray):
+        self.last, self.step, self.rows = last, step, rows
+
+
+def _places(order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(order), np.int32)
+    out[order] = np.arange(len(order), dtype=np.int32)
+    return out
 
-def merge_transforms(group: np.ndarray, sym: np.ndarray, shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' orders, and the bytes that neighbours have in common.
 
-    The interleave begins with whole groups as blocks, shard after shard in each. Pass c
-    splits each block by symbol c, stably, so that a shard's suffixes stay as they were;
-    blocks of one suffix rest. -1: neighbours of different groups.
+def shard_transform(sym: np.ndarray, members: np.ndarray) -> Transform:
+    """A shard's transform of its own strings, built from the last symbol to the first."""
+    n, cols = len(members), sym.shape[1]
+    last, step, rows = [np.empty(0)] * cols, [np.empty(0)] * cols, np.asarray(members)
+    for o in reversed(range(cols)):
+        last[o] = sym[rows, o]
+        order = np.argsort(last[o], kind="stable")
+        step[o], rows = _places(order), rows[order]
+    return Transform(last, step, rows)
+
+
+def _woven(z: np.ndarray, own: np.ndarray, one, two) -> np.ndarray:
+    """Values of the first at places ``own``, of the second at the others."""
+    out = np.empty(len(z), one.dtype)
+    out[own], out[~z] = one, two
+    return out
+
+
+def merge(one: Transform, two: Transform) -> Transform:
+    """Transform of both sets: the interleave of their orders, refined a symbol at a time.
+
+    ``before[j]`` says how many suffixes of ``two`` come before the jth of ``one``: the
+    interleave. It begins with suffixes of no symbols, all equal, ``one`` first. A pass
+    lengthens all suffixes by the symbol before them: those of ``two`` that then come
+    before a suffix c + x of ``one`` are those with a symbol under c, and of those with c
+    the ones that came before x. Neither side is sorted again: their own orders
+    (``last``, ``step``) are read as they are.
+    """
+    n, m = len(one.rows), len(two.rows)
+    cols = len(one.last)
+    before = np.zeros(n, np.int64)
+    last, step = [np.empty(0)] * cols, [np.empty(0)] * cols
+    z = own = None
+
+    def interleave():
+        own = np.arange(n) + before
+        z = np.zeros(n + m, bool)
+        z[own] = True
+        return z, own
+
+    z, own = interleave()
+    for o in reversed(range(cols)):
+        last[o] = _woven(z, own, one.last[o], two.last[o])
+        came = np.empty(m, np.int64)  # where the suffix at each new place of two was
+        came[two.step[o]] = np.arange(m)
+        c = two.last[o][came]  # ascending
+        run = np.cumsum(np.append(0, c[1:] != c[:-1])) if m else came
+        place = run * (m + 1) + came  # ascending, too
+        low, high = np.searchsorted(c, one.last[o], "left"), np.searchsorted(c, one.last[o], "right")
+        there = low < high
+        now = low.astype(np.int64)
+        now[there] = np.searchsorted(place, run[low[there]] * (m + 1) + before[there], "left")
+        z0, own0 = z, own
+        before = np.empty(n, np.int64)
+        before[one.step[o]] = now
+        z, own = interleave()
+        step[o] = _woven(z0, own0, own[one.step[o]].astype(np.int32), np.flatnonzero(~z)[two.step[o]].astype(np.int32))
+    return Transform(last, step, _woven(z, own, one.rows, two.rows))
+
+
+def merge_all(shards: list[Transform]) -> Transform:
+    while len(shards) > 1:
+        pairs = zip(shards[::2], shards[1::2], strict=False)
+        shards = [merge(a, b) for a, b in pairs] + (shards[-1:] if len(shards) % 2 else [])
+    return shards[0]
+
+
+def _least_between(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minimum of values[a + 1 .. b] for each pair a < b."""
+    size = b - a
+    out, level, table = np.empty(len(a), values.dtype), 0, values
+    while True:
+        # a window of 2 ** level from each end covers sizes up to twice that
+        some = np.flatnonzero((size >> level) == 1)
+        if len(some):
+            w = 1 << level
+            out[some] = np.minimum(table[a[some] + 1], table[b[some] + 1 - w])
+        if not (size >> (level + 1)).any():
+            return out
+        w = 1 << level
+        table = np.minimum(table[:-w], table[w:])
+        level += 1
+
+
+def common_symbols(t: Transform) -> np.ndarray:
+    """Symbols that each whole string shares with the one before it, from the passes.
+
+    Two neighbours with the same first symbol have one more than the least in common
+    between their rests, one place further on.
+    """
+    n = len(t.rows)
+    common = np.zeros(n, np.int32)
+    for o in reversed(range(len(t.last))):
+        came = np.empty(n, np.int64)
+        came[t.step[o]] = np.arange(n)
+        c = t.last[o][came]
+        same = np.flatnonzero(c[1:] == c[:-1]) + 1
+        longer = np.zeros(n, np.int32)
+        if len(same):
+            longer[same] = 1 + _least_between(common, came[same - 1], came[same])
+        common = longer
+    return common
+
+
+def merge_shards(group: np.ndarray, sym: np.ndarray, shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings in order of group and symbols, and the bytes that neighbours have in common.
+
+    -1: neighbours of different groups.
     """
-    order = np.concatenate(shards)
-    order = order[np.argsort(group[order], kind="stable")]
-    n = len(order)
-    head = np.ones(n, bool)  # first of its block
-    head[1:] = group[order[1:]] != group[order[:-1]]
-    common = np.full(n, -1, np.int64)
-    for c in range(sym.shape[1]):
-        tail = np.append(head[1:], True)
-        live = np.flatnonzero(~(head & tail))
-        if not len(live):
-            break
-        block = np.cumsum(head)[live]
-        s = sym[order[live], c]
-        moved = np.lexsort((s, block))  # stable: blocks stay where they are
-        order[live] = order[live][moved]
-        s = s[moved]
-        split = (block[1:] == block[:-1]) & (s[1:] != s[:-1]) & (np.diff(live) == 1)
-        at = live[1:][split]
-        x = s[1:][split] ^ s[:-1][split]
-        # equal leading bytes of the two symbols
-        lead = np.zeros(len(x), np.int64)
-        for b in range(1, 8):
-            lead += x < (np.uint64(1) << np.uint64(64 - 8 * b))
-        common[at] = 8 * c + lead
-        head[at] = True
-    common[~head] = 8 * sym.shape[1]
-    return order, common
+    whole = np.concatenate([group[:, None].astype(np.uint64), sym], axis=1)
+    t = merge_all([shard_transform(whole, s) for s in shards])
+    common = common_symbols(t).astype(np.int64)
+    order, width = t.rows, sym.shape[1]
+    out = np.full(len(order), -1, np.int64)
+    inner = np.flatnonzero(common > 0)
+    k = common[inner] - 1  # without the group
+    out[inner] = 8 * k
+    cut = inner[k < width]
+    k = k[k < width]
+    x = sym[order[cut], k] ^ sym[order[cut - 1], k]
+    for b in range(1, 8):  # equal leading bytes of the symbols that differ
+        out[cut] += x < (np.uint64(1) << np.uint64(64 - 8 * b))
+    return order, out
 
 
 def repeated_starts(group: np.ndarray, before: list[bytes], after: list[bytes], near: np.ndarray, far: np.ndarray, length: int) -> list[np.ndarray]:
     """For each anchor, the distances d in near..far whose string occurs at another anchor."""
     m = len(group)
     shards = [np.arange(i, min(i + SHARD, m)) for i in range(0, m, SHARD)]
-
-    def merged(rows: list[bytes], width: int):
-        sym = symbols(rows, width)
-        own = [s[shard_transform(group[s], sym[s])] for s in shards]
-        return merge_transforms(group, sym, own)
-
-    r_order, r_common = merged(after, length)
-    l_order, l_common = merged([b[::-1] for b in before], length)
+    r_order, r_common = merge_shards(group, symbols(after, length), shards)
+    l_order, l_common = merge_shards(group, symbols([b[::-1] for b in before], length), shards)
     hit: list[list[int]] = [[] for _ in range(m)]
     r_id, l_id = np.empty(m, np.int64), np.empty(m, np.int64)
     for d in range(int(near.min()), int(far.max()) + 1):
@@ -226,18 +327,17 @@ def _runs(d: np.ndarray) -> list[tuple[int, int]]:
 
 
 RANGES = "doc_id long, tkey long, s int, e int"
-SURROUNDINGS = "gram long, n long, doc_id long, tkey long, a int, lo int, hi int, body binary"
 
 
 def surroundings(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     """Each class's bytes, cut from the text of the anchor that stands for it."""
-    wanted = classes.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("gram", "n", "a", "lo", "hi")).alias("cut"))
+    wanted = classes.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("gram", "n", "kinds", "a", "lo", "hi")).alias("cut"))
     text = F.encode("text", "utf-8")
     return (
         docs.join(wanted, ["doc_id", "tkey"])
         .dropDuplicates(["doc_id", "tkey"])
         .select("doc_id", "tkey", text.alias("raw"), F.explode("cut").alias("c"))
-        .select("c.gram", "c.n", "doc_id", "tkey", "c.a", "c.lo", "c.hi", F.expr(f"substring(raw, c.lo + 1, c.hi - c.lo + {length})").alias("body"))
+        .select("c.gram", "c.n", "c.kinds", "doc_id", "tkey", "c.a", "c.lo", "c.hi", F.expr(f"substring(raw, c.lo + 1, c.hi - c.lo + {length})").alias("body"))
     )
 
 
@@ -295,31 +395,37 @@ def ranges(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     grams = shared.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
     full = marked.join(shared.where("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select("doc_id", "tkey", F.col("lo").alias("s"), F.col("hi").alias("e"))
     loose = shared.join(grams.where("kinds > 1").select("gram", "kinds"), "gram")
-    bodies = stored(surroundings(docs, loose.select("gram", "n", "doc_id", "tkey", "a", "lo", "hi"), length), "surroundings")
-    many = grams.where(F.col("kinds") > hot).select("gram")
-    few = merged_ranges(bodies.join(many, "gram", "left_anti").select(*bodies.columns), length)
-    lots = counted_ranges(bodies.join(many, "gram", "left_semi").select(*bodies.columns), length)
+    bodies = stored(surroundings(docs, loose.select("gram", "n", "kinds", "doc_id", "tkey", "a", "lo", "hi"), length), "surroundings")
+    few = merged_ranges(bodies.where(F.col("kinds") <= hot).drop("kinds"), length)
+    lots = counted_ranges(bodies.where(F.col("kinds") > hot).drop("kinds"), length)
     return full.unionByName(few).unionByName(lots)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage int"
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """Per row the digest of what is left; ``with_text`` adds kept (binary)."""
+def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, words: int = passages.PASSAGE) -> DataFrame:
+    """Per row the digest of what is left; ``with_text`` adds kept (binary).
+
+    shares_passage (0/1): does the text hold ``words`` words in a row that another document
+    holds too? Such a passage can be shorter than ``length`` bytes; it is told, not removed.
+    """
     rows = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tkey", F.xxhash64("text"))
     # a null doc_id stands as -1 in anchors
     keyed = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-1)))
     plain = keyed.select(F.col("doc").alias("doc_id"), "tkey", "text")
+    told = passages.shared(plain, words).select(F.col("doc_id").alias("doc"), "tkey", F.lit(1).alias("shares"))
+    swept(docs.sparkSession)
     found = ranges(plain, length)
     by_row = found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("s", "e")).alias("cut")).withColumnRenamed("doc_id", "doc")
-    both = keyed.join(by_row, ["doc", "tkey"], "left").select("doc_id", "text", "cut")
+    marks = by_row.join(told, ["doc", "tkey"], "full")
+    both = keyed.join(marks, ["doc", "tkey"], "left").select("doc_id", "text", "cut", F.coalesce("shares", F.lit(0)).alias("shares"))
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for doc, text, cut in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            out = [[] for _ in range(7)]
+            for doc, text, cut, shares in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 kept, at, spans, removed = [], 0, 0, 0
                 for s, e in sorted((c["s"], c["e"] + length) for c in cut or ()):
@@ -333,11 +439,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
                         at = e
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                for col, v in zip(out, (doc, len(raw), removed, spans, hashlib.sha256(left).hexdigest(), left), strict=True):
+                for col, v in zip(out, (doc, len(raw), removed, spans, hashlib.sha256(left).hexdigest(), shares, left), strict=True):
                     col.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            k = 6 if with_text else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:k], types[:k], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:k])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary())
+            k = 7 if with_text else 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:k], types[:k], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage", "kept"][:k])
 
     return both.mapInArrow(run, RESULT + (", kept binary" if with_text else ""))
 
