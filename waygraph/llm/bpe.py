@@ -1,12 +1,18 @@
-"""BPE by automaton: merge gadgets decide the arcs, words are run through the arcs.
-
-A state is the last token read. After the merge (x, y) has been added, the gadget takes
-away each arc that would leave x and y side by side; so an arc t -> u stands if no merge
-joins a right part of t with a left part of u while both parts exist. Merges are added
-in rank order; a token whose own two halves are kept apart by an earlier gadget is never
-reached. There is one path of standing arcs over a word, and its labels are the word's
-tokens. The full arc table has |V|**2 entries, so arcs are entered in it as words first
-need them (``MAX_ARCS`` at a time).
+"""BPE by automaton: merge gadgets decide the arcs, a table over bytes runs the words.
+
+Merges are compiled in rank order. After the merge (x, y) has been added, its gadget
+takes away each arc that would leave x and y side by side; so an arc t -> u between tokens
+stands if no merge joins a right part of t with a left part of u while both parts exist.
+A token whose own two halves are kept apart by an earlier gadget is never reached. There
+is one path of standing arcs over a word, and its labels are the word's tokens.
+
+That automaton reads tokens. It is made deterministic over bytes by the subset
+construction: a state is the set of (last token, place in the trie of tokens) that what
+was read so far allows. Each prefix of a word has one path too, so a state has one last
+token, which says where the path's last arc began. A word is run by one table look-up a
+byte; its path is then read off the states from its end. There is no search and no way
+back. The whole table would have a row for every prefix of every word, so rows are entered
+when a word first needs them, and at most ``MAX_STATES`` are held at a time.
 
 Edge cases: a null text is empty and has no tokens; empty and repeated rows are rows like
 any other; an empty table gives an empty result; other columns are ignored; a word of any
@@ -34,7 +40,7 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _ASCII = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _ODD = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
-MAX_WORDS, MAX_ARCS, LONG_WORD = 300_000, 300_000, 64
+MAX_WORDS, MAX_ARCS, MAX_STATES, LONG_WORD = 300_000, 300_000, 100_000, 64
 NEVER = 1 << 60
 
 
@@ -67,7 +73,7 @@ def read_model(path: str) -> dict:
 
 
 class Automaton:
-    """Arcs between tokens, entered as they are needed."""
+    """The merges' arcs between tokens, and the table over bytes that they give."""
 
     def __init__(self, model: dict):
         ids = model["ids"]
@@ -82,12 +88,24 @@ class Automaton:
             self._gadget(rank, ids.get(x), ids.get(y), ids[x + y])
         self._arcs: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
-        # longest token for each pair of first bytes
-        self._reach: dict[bytes, int] = {}
-        for t in self.token:
-            self._reach[t[:2]] = max(len(t), self._reach.get(t[:2], 0))
+        # trie of the tokens that can be reached: (node << 8 | byte) -> node; the token that ends at a node
+        self._next: dict[int, int] = {}
+        self._ends: dict[int, int] = {}
+        for t, i in self.token.items():
+            node = 0
+            for b in t:
+                node = self._next.setdefault(node << 8 | b, len(self._next) + 1)
+            self._ends[node] = i
+        self._clear()
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def _clear(self) -> None:
+        """An empty table: state 0, where nothing has been read, has no last token."""
+        self._table: dict[int, int] = {}  # (state << 8 | byte) -> state
+        self._state: dict[tuple[tuple[int, int], ...], int] = {}
+        self._sets: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        self._last: list[int] = [-1]
+
     def _gadget(self, rank: int, x: int, y: int, joined: int) -> None:
         """Add one merge: the arc x -> y goes, and ``joined`` comes if that arc stood."""
         if x not in self._born or y not in self._born:
@@ -131,37 +149,47 @@ class Automaton:
             stands = self._arcs[key] = not self._apart(t, u)
         return stands
 
+    def _enter(self, state: int, byte: int) -> int:
+        """The table's entry for a state and byte: each place moves on, and a token that ends begins a new one."""
+        live, last = [], -1
+        for t, node in self._sets[state]:
+            node = self._next.get(node << 8 | byte, 0)
+            if not node:
+                continue
+            live.append((t, node))
+            u = self._ends.get(node)
+            if u is not None and (t < 0 or self.arc(t, u)):
+                last = u
+        if last < 0:
+            raise ValueError("no path: the vocabulary lacks a byte")
+        live.append((last, 0))
+        key = tuple(live)
+        to = self._state.get(key)
+        if to is None:
+            full = len(self._sets) >= MAX_STATES
+            if full:  # begin a new table with this state
+                self._clear()
+            to = self._state[key] = len(self._sets)
+            self._sets.append(key)
+            self._last.append(last)
+            if full:
+                return to
+        self._table[state << 8 | byte] = to
+        return to
+
     def run(self, word: bytes) -> list[int]:
-        """Labels of the one path over ``word``: the longest arc first, back on a dead end."""
-        n, token, reach, arc = len(word), self.token, self._reach, self.arc
-        if word in token:
-            # a token that can be reached is the path of its own string
-            return [token[word]]
-        path: list[int] = []
-        ends: list[int] = []  # where each arc of the path ends
-        dead: set[int] = set()
-        at, size = 0, reach.get(word[:2], 1)
-        while at < n:
-            size = min(size, n - at)
-            while size:
-                t = token.get(word[at : at + size])
-                if t is not None and at + size not in dead and (not path or arc(path[-1], t)):
-                    break
-                size -= 1
-            if size:
-                at += size
-                path.append(t)
-                ends.append(at)
-                size = reach.get(word[at : at + 2], 1)
-            else:
-                if not path:
-                    raise ValueError("no path: the vocabulary lacks a byte")
-                dead.add(at)
-                path.pop()
-                ends.pop()
-                back = ends[-1] if ends else 0
-                size, at = at - back - 1, back
-        return path
+        """Labels of the one path over ``word``."""
+        state, last = 0, array("i")  # the last token of each prefix
+        for byte in word:
+            to = self._table.get(state << 8 | byte)
+            state = self._enter(state, byte) if to is None else to
+            last.append(self._last[state])
+        path, at, label = [], len(word), self.label
+        while at:
+            t = last[at - 1]
+            path.append(t)
+            at -= len(label[t])
+        return path[::-1]
 
     def word(self, w: str) -> bytes:
         """Packed ids of a pre-split word, kept for short words."""

@@ -30,7 +30,7 @@ from waygraph.llm.common import stored
 PASSAGE = 51
 GRAM = 8
 #: Bytes whose words are hashed at once, and windows that are compared at once.
-BLOCK, WINDOWS = 1 << 21, 1 << 20
+BLOCK, WINDOWS = 1 << 18, 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
