@@ -7,9 +7,9 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.plans.storage import shared_dir, stored
+from waygraph.plans.storage import discard, shared_dir, stored
 
-__all__ = ["free", "joined", "matches", "only", "shared_dir", "stored", "swept"]
+__all__ = ["discard", "free", "joined", "matches", "only", "shared_dir", "stored", "swept"]
 
 
 def swept(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import stored
+from waygraph.llm.common import discard, stored, swept
 
 #: More than fifty words.
 PASSAGE = 51
@@ -166,13 +166,20 @@ def shared(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
     node = F.xxhash64("doc_id", "tkey")
     two = F.min("node") != F.max("node")  # held by two documents at least
     marked = stored(anchored(docs, size), "passage-anchors")
-    grams = marked.withColumn("node", node).groupBy("gram").agg(two.alias("two")).where("two").select("gram")
+    # stored by itself, so that the join's own shuffle can be split where a gram is frequent
+    grams = stored(marked.withColumn("node", node).groupBy("gram").agg(two.alias("two")).where("two").select("gram"), "passage-grams")
     met = stored(marked.join(grams, "gram", "left_semi").withColumn("node", node), "passage-shared")
-    alike = met.groupBy("gram", "ctx").agg(two.alias("two")).where("two").select("gram", "ctx")
+    discard(marked, grams)
+    swept(docs.sparkSession)
+    alike = stored(met.groupBy("gram", "ctx").agg(two.alias("two")).where("two").select("gram", "ctx"), "passage-alike")
     done = stored(met.join(alike, ["gram", "ctx"], "left_semi").select("doc_id", "tkey").distinct(), "passage-copies")
     unsettled = met.join(done, ["doc_id", "tkey"], "left_anti").select("gram").distinct()
     # one run stands for all that equal it
     loose = met.join(unsettled, "gram", "left_semi").groupBy("gram", "ctx").agg(F.min(F.struct("doc_id", "tkey", "lo", "hi")).alias("rep")).select("gram", "rep.*")
-    each = stored(_each_window(docs, loose, size), "passage-windows").withColumn("node", node)
-    same = each.groupBy("gram", "window").agg(two.alias("two")).where("two").select("gram", "window")
-    return stored(done.unionByName(each.join(same, ["gram", "window"], "left_semi").select("doc_id", "tkey")).distinct(), "passages")
+    each = stored(_each_window(docs, loose, size), "passage-windows")
+    discard(met, alike)
+    swept(docs.sparkSession)
+    same = each.withColumn("node", node).groupBy("gram", "window").agg(two.alias("two")).where("two").select("gram", "window")
+    out = stored(done.unionByName(each.join(same, ["gram", "window"], "left_semi").select("doc_id", "tkey")).distinct(), "passages")
+    discard(each, done)
+    return out

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waygraph.llm import passages
-from waygraph.llm.common import only, stored, swept
+from waygraph.llm.common import discard, only, stored, swept
 
 LENGTH, GRAM = 400, 32
 CHUNK = 2 << 20
@@ -388,17 +388,23 @@ def counted_ranges(found: DataFrame, length: int) -> DataFrame:
 
 
 def ranges(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
-    """(doc_id, tkey, s, e): starts s..e of strings that occur elsewhere too."""
+    """(doc_id, tkey, cut): each text's starts s..e of strings that occur elsewhere too."""
     marked = stored(anchors(docs, length), "anchors")
     classes = marked.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tkey", "a", "lo", "hi")).alias("rep"))
     shared = stored(classes.select("gram", "ctx", "n", "rep.*"), "classes")
+    swept(docs.sparkSession)
     grams = shared.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
     full = marked.join(shared.where("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select("doc_id", "tkey", F.col("lo").alias("s"), F.col("hi").alias("e"))
     loose = shared.join(grams.where("kinds > 1").select("gram", "kinds"), "gram")
     bodies = stored(surroundings(docs, loose.select("gram", "n", "kinds", "doc_id", "tkey", "a", "lo", "hi"), length), "surroundings")
+    swept(docs.sparkSession)
     few = merged_ranges(bodies.where(F.col("kinds") <= hot).drop("kinds"), length)
     lots = counted_ranges(bodies.where(F.col("kinds") > hot).drop("kinds"), length)
-    return full.unionByName(few).unionByName(lots)
+    found = full.unionByName(few).unionByName(lots)
+    out = stored(found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("s", "e")).alias("cut")), "ranges")
+    discard(marked, shared, bodies)
+    swept(docs.sparkSession)
+    return out
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage int"
@@ -417,9 +423,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, words:
     plain = keyed.select(F.col("doc").alias("doc_id"), "tkey", "text")
     told = passages.shared(plain, words).select(F.col("doc_id").alias("doc"), "tkey", F.lit(1).alias("shares"))
     swept(docs.sparkSession)
-    found = ranges(plain, length)
-    by_row = found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("s", "e")).alias("cut")).withColumnRenamed("doc_id", "doc")
-    marks = by_row.join(told, ["doc", "tkey"], "full")
+    marks = ranges(plain, length).withColumnRenamed("doc_id", "doc").join(told, ["doc", "tkey"], "full")
     both = keyed.join(marks, ["doc", "tkey"], "left").select("doc_id", "text", "cut", F.coalesce("shares", F.lit(0)).alias("shares"))
 
     def run(batches):
