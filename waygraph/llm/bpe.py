@@ -88,22 +88,28 @@ class Automaton:
             self._gadget(rank, ids.get(x), ids.get(y), ids[x + y])
         self._arcs: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
-        # trie of the tokens that can be reached: (node << 8 | byte) -> node; the token that ends at a node
+        # trie of the tokens that can be reached: place << 8 | byte -> place; by place: the token that ends there, has it longer ones
         self._next: dict[int, int] = {}
-        self._ends: dict[int, int] = {}
+        self._token, self._more = [-1], bytearray(1)
         for t, i in self.token.items():
-            node = 0
+            place = 0
             for b in t:
-                node = self._next.setdefault(node << 8 | b, len(self._next) + 1)
-            self._ends[node] = i
+                self._more[place] = 1
+                key = place << 8 | b
+                if key not in self._next:
+                    self._next[key] = len(self._token)
+                    self._token.append(-1)
+                    self._more.append(0)
+                place = self._next[key]
+            self._token[place] = i
         self._clear()
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _clear(self) -> None:
-        """An empty table: state 0, where nothing has been read, has no last token."""
-        self._table: dict[int, int] = {}  # (state << 8 | byte) -> state
-        self._state: dict[tuple[tuple[int, int], ...], int] = {}
-        self._sets: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        """An empty table; state 0: nothing is read. Plain numbers, which cost the garbage collector nothing."""
+        self._table: dict[int, int] = {}  # state << 8 | byte -> state
+        self._state: dict[tuple[int, ...], int] = {}
+        self._sets: list[tuple[int, ...]] = [(-1, 0)]  # last token, place, last token, place, ...
         self._last: list[int] = [-1]
 
     def _gadget(self, rank: int, x: int, y: int, joined: int) -> None:
@@ -151,30 +157,35 @@ class Automaton:
 
     def _enter(self, state: int, byte: int) -> int:
         """The table's entry for a state and byte: each place moves on, and a token that ends begins a new one."""
-        live, last = [], -1
-        for t, node in self._sets[state]:
-            node = self._next.get(node << 8 | byte, 0)
-            if not node:
+        live, last, arcs, on, token, more = [], -1, self._arcs, self._next, self._token, self._more
+        places = iter(self._sets[state])
+        for t, place in zip(places, places, strict=True):
+            place = on.get(place << 8 | byte)
+            if place is None:
                 continue
-            live.append((t, node))
-            u = self._ends.get(node)
-            if u is not None and (t < 0 or self.arc(t, u)):
-                last = u
+            u = token[place]
+            if u >= 0 and last < 0:
+                stands = t < 0 or arcs.get(t << 20 | u)
+                if stands is None:
+                    stands = self.arc(t, u)
+                if stands:
+                    last = u
+            if more[place]:
+                live += (t, place)
         if last < 0:
             raise ValueError("no path: the vocabulary lacks a byte")
-        live.append((last, 0))
-        key = tuple(live)
-        to = self._state.get(key)
+        live += (last, 0)
+        name = tuple(live)
+        to = self._state.get(name)
+        full = to is None and len(self._sets) >= MAX_STATES
+        if full:  # a new table, which begins with this state
+            self._clear()
         if to is None:
-            full = len(self._sets) >= MAX_STATES
-            if full:  # begin a new table with this state
-                self._clear()
-            to = self._state[key] = len(self._sets)
-            self._sets.append(key)
+            to = self._state[name] = len(self._sets)
+            self._sets.append(name)
             self._last.append(last)
-            if full:
-                return to
-        self._table[state << 8 | byte] = to
+        if not full:
+            self._table[state << 8 | byte] = to
         return to
 
     def run(self, word: bytes) -> list[int]:
@@ -189,7 +200,8 @@ class Automaton:
             t = last[at - 1]
             path.append(t)
             at -= len(label[t])
-        return path[::-1]
+        path.reverse()
+        return path
 
     def word(self, w: str) -> bytes:
         """Packed ids of a pre-split word, kept for short words."""

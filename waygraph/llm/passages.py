@@ -149,14 +149,26 @@ def _each_window(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     cuts = wanted.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "hi", "gram")).alias("cut"))
     both = docs.join(cuts, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "cut")
 
+    def flush(some):
+        n = [len(w) for _, _, _, w in some]
+        gram, doc, key = (np.repeat(np.array([x[i] for x in some], np.int64), n) for i in range(3))
+        window = np.concatenate([w for _, _, _, w in some]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, window, doc, key)], names=["gram", "window", "doc_id", "tkey"])
+
     def run(batches):
+        some, held = [], 0
         for batch in batches:
             for doc, key, text, cut in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = word_hashes((text or "").encode("utf-8", "surrogatepass"))[0]
                 for c in cut:
                     w = window_hashes(words[c["lo"] : c["hi"] + size], size)
-                    n = len(w)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c["gram"])), pa.array(w.view(np.int64)), pa.array(np.full(n, doc)), pa.array(np.full(n, key))], names=["gram", "window", "doc_id", "tkey"])
+                    some.append((c["gram"], doc, key, w))
+                    held += len(w)
+                    if held >= 1 << 15:
+                        yield flush(some)
+                        some, held = [], 0
+        if some:
+            yield flush(some)
 
     return both.mapInArrow(run, "gram long, window long, doc_id long, tkey long")
 
@@ -171,13 +183,14 @@ def shared(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
     met = stored(marked.join(grams, "gram", "left_semi").withColumn("node", node), "passage-shared")
     discard(marked, grams)
     swept(docs.sparkSession)
-    alike = stored(met.groupBy("gram", "ctx").agg(two.alias("two")).where("two").select("gram", "ctx"), "passage-alike")
-    done = stored(met.join(alike, ["gram", "ctx"], "left_semi").select("doc_id", "tkey").distinct(), "passage-copies")
-    unsettled = met.join(done, ["doc_id", "tkey"], "left_anti").select("gram").distinct()
-    # one run stands for all that equal it
-    loose = met.join(unsettled, "gram", "left_semi").groupBy("gram", "ctx").agg(F.min(F.struct("doc_id", "tkey", "lo", "hi")).alias("rep")).select("gram", "rep.*")
+    # equal runs: whether two documents hold them, and one run that stands for all
+    rep = F.min(F.struct("doc_id", "tkey", "lo", "hi")).alias("rep")
+    alike = stored(met.groupBy("gram", "ctx").agg(two.alias("two"), rep), "passage-alike")
+    done = stored(met.join(alike.where("two").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select("doc_id", "tkey").distinct(), "passage-copies")
+    unsettled = stored(met.join(done, ["doc_id", "tkey"], "left_anti").select("gram").distinct(), "passage-open")
+    loose = alike.select("gram", "rep.*").join(unsettled, "gram", "left_semi")
     each = stored(_each_window(docs, loose, size), "passage-windows")
-    discard(met, alike)
+    discard(met, alike, unsettled)
     swept(docs.sparkSession)
     same = each.withColumn("node", node).groupBy("gram", "window").agg(two.alias("two")).where("two").select("gram", "window")
     out = stored(done.unionByName(each.join(same, ["gram", "window"], "left_semi").select("doc_id", "tkey")).distinct(), "passages")

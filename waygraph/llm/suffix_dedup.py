@@ -39,13 +39,13 @@ from waygraph.llm import passages
 from waygraph.llm.common import discard, only, stored, swept
 
 LENGTH, GRAM = 400, 32
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Surroundings of one gram that a task still merges: about 20 MB of text.
 HOT = 32768
 #: Strings of a shard whose transform is built at once.
 SHARD = 1024
 #: Bytes of surroundings that a task merges at once.
-MERGE_BYTES = 4 << 20
+MERGE_BYTES = 2 << 20
 #: Odd 64-bit multipliers (digits of pi's fraction).
 MIX = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1, 0x082EFA98EC4E6C89)]
 
