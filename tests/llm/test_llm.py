@@ -141,7 +141,7 @@ def plain_fingerprint(text):
 
 @pytest.mark.parametrize("group", [simhash.GROUP, 20])
 def test_simhash(spark, monkeypatch, group):
-    monkeypatch.setattr(simhash.links, "__defaults__", (group, False))
+    monkeypatch.setattr(simhash.links, "__defaults__", (group,))
     rnd = random.Random(3)
     vocab = [f"W{i}" for i in range(50)]
     texts = []

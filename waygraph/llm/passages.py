@@ -187,10 +187,10 @@ def shared(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
     rep = F.min(F.struct("doc_id", "tkey", "lo", "hi")).alias("rep")
     alike = stored(met.groupBy("gram", "ctx").agg(two.alias("two"), rep), "passage-alike")
     done = stored(met.join(alike.where("two").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select("doc_id", "tkey").distinct(), "passage-copies")
-    unsettled = stored(met.join(done, ["doc_id", "tkey"], "left_anti").select("gram").distinct(), "passage-open")
+    unsettled = met.join(done, ["doc_id", "tkey"], "left_anti").select("gram").distinct()
     loose = alike.select("gram", "rep.*").join(unsettled, "gram", "left_semi")
     each = stored(_each_window(docs, loose, size), "passage-windows")
-    discard(met, alike, unsettled)
+    discard(met, alike)
     swept(docs.sparkSession)
     same = each.withColumn("node", node).groupBy("gram", "window").agg(two.alias("two")).where("two").select("gram", "window")
     out = stored(done.unionByName(each.join(same, ["gram", "window"], "left_semi").select("doc_id", "tkey")).distinct(), "passages")

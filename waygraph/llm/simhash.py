@@ -227,22 +227,12 @@ def probe_keys(fps: DataFrame, probes: list[list[int]]) -> DataFrame:
     return fps.select("fp", "node").mapInArrow(run, "fp long, node long, probe int, value long")
 
 
-def _forest(fp: np.ndarray, block: np.ndarray, tau: int, nearest: bool) -> tuple[list[int], list[int]]:
-    """Links that connect what is connected in a group; blocks differ: only across them.
-
-    ``nearest``: also each member's link to its nearest one.
-    """
+def _forest(fp: np.ndarray, block: np.ndarray, tau: int) -> tuple[list[int], list[int]]:
+    """Links that connect what is connected in a group; blocks differ: only across them."""
     label = np.arange(len(fp))
     across = (block != block[0]).any()
     a, b = [], []
     for i in range(len(fp)):
-        if nearest:
-            far = np.bitwise_count(fp[i] ^ fp).astype(np.int64)
-            far[(block == block[i]) if across else i] = 255
-            if (least := int(far.min())) <= tau:
-                a.append(i)
-                b.append(int(far.argmin()))
-
         near = np.bitwise_count(fp[i] ^ fp[i + 1 :]) <= tau
         if across:
             near &= block[i + 1 :] != block[i]
@@ -264,12 +254,11 @@ def _first_meeting(differ: np.ndarray, probe: np.ndarray, masks: np.ndarray) ->
     return met == probe
 
 
-def links(keys: DataFrame, tau: int, probes: list[list[int]], group: int = GROUP, nearest: bool = False) -> DataFrame:
+def links(keys: DataFrame, tau: int, probes: list[list[int]], group: int = GROUP) -> DataFrame:
     """Links (u, v) of nodes that share a probe key and differ in at most ``tau`` bits.
 
-    Small groups give all their links, larger ones a spanning forest of them and, with
-    ``nearest``, each node's link to its nearest one. A pair that meets at several probes
-    is linked at the first: there it is connected, and so is each node with its nearest.
+    Small groups give all their links, larger ones a spanning forest of them. A pair that
+    meets at several probes is linked at the first: there it is connected.
     """
     masks = np.array([sum(1 << b for b in p) for p in probes], np.uint64)
     sizes = keys.groupBy("probe", "value").agg(F.count("*").alias("n")).where(F.col("n") > group)
@@ -301,7 +290,7 @@ def links(keys: DataFrame, tau: int, probes: list[list[int]], group: int = GROUP
             hit = np.flatnonzero((k[o:] == k[:-o]) & (np.bitwise_count(f[o:] ^ f[:-o]) <= tau))
             put(few[hit + o], few[hit])
         for at, count in zip(cut[:-1][size > SMALL], size[size > SMALL], strict=True):
-            a, b = _forest(fp[at : at + count], block[at : at + count], tau, nearest)
+            a, b = _forest(fp[at : at + count], block[at : at + count], tau)
             put(np.array(a, np.int64) + at, np.array(b, np.int64) + at)
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
         return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64))], names=["u", "v"])
@@ -334,17 +323,27 @@ def components(docs: DataFrame, tau: int = 3, width: int = 3) -> DataFrame:
     return rows.join(by_node, "node").select("doc_id", "fp", "component_id")
 
 
+def proposals(docs: DataFrame, tau: int = 3, width: int = 5) -> DataFrame:
+    """(u, v): keys of texts whose fingerprints over ``width``-word shingles are linked."""
+    rows = fingerprints(docs.select(alike.text_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"]), width)
+    nodes = stored(rows.select("fp", F.col("doc_id").alias("node")), "simhash-texts")
+    parts, thresholds = choose(nodes, tau)
+    probes = probe_bits(parts, thresholds)
+    return links(probe_keys(nodes, probes), tau, probes)
+
+
 def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of least doc_id.
 
-    Texts are linked whose ``width``-word shingle sets have this Jaccard similarity; which
-    ones is found and decided exactly (``alike``), as few differing bits would miss copies
-    that are cut or lengthened. A row is known by doc_id and text, so texts that share a
-    doc_id are told apart; a group without any doc_id keeps one row too.
+    Texts are linked whose ``width``-word shingle sets have this Jaccard similarity. The
+    SimHash probes propose most of them; as few differing bits miss copies that are cut or
+    lengthened, an exact set join (``alike``) finds the others, and decides on all. A row is
+    known by doc_id and text, so texts that share a doc_id are told apart; a group without
+    any doc_id keeps one row too.
     """
     doc, key, own = free(docs, "doc_", "key_", "own_")
     rows = docs.select("doc_id", alike.text_key().alias("node"))
-    named = rows.join(alike.groups(docs, similarity, width), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rows.join(alike.groups(docs, similarity, width, proposals(docs, width=width)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
     kept = named.groupBy("root").agg(first).select(F.col("first.doc_id").alias(doc), F.col("first.node").alias(key))
     same = (alike.text_key() == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc))
