@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import only
+from waygraph.llm.common import free, only
 
 OVERHEAD = 16
 #: Sub-buckets of a curve cell, so that no cell, however full, is ranked by one task.
@@ -122,13 +122,14 @@ def buckets(df: DataFrame, bits: int) -> list[Column]:
     return [F.when(F.col("source").isNull(), 0).otherwise(name(F.col("source"))), F.when(F.col("lang").isNull(), 0).otherwise(name(F.col("lang"))), size]
 
 
-def shard(docs: DataFrame, shards: int = 40, bits: int = 5) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, bits: int = 5, key: bool = False) -> DataFrame:
     """Rows of ``docs`` with shard and slot under law ``rows``: counts differ by one at most.
 
     The rows' order is (curve index, sub-bucket, doc_id, text CRC). A row's place in
     it is the rows in earlier cells (a table of at most 2**(3 * bits) cells) plus
     those in earlier sub-buckets of its cell (at most ``SUB``) plus its rank in its
-    sub-bucket; shard and slot follow from the place and the total alone.
+    sub-bucket; shard and slot follow from the place and the total alone. ``key`` adds
+    text_key, the text's hash.
     """
     rows = only(docs, "doc_id", "text", "source", "lang").select(
         "doc_id",
@@ -136,11 +137,13 @@ def shard(docs: DataFrame, shards: int = 40, bits: int = 5) -> DataFrame:
         "lang",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"),
     )
     rows = rows.select(
         "doc_id",
         "size",
         "text_crc32",
+        *(["text_key"] if key else []),
         curve_index(buckets(rows, bits), bits).alias("curve"),
     ).withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SUB)).cast("int"))
     # one exchange: counting and ranking both read it
@@ -175,19 +178,31 @@ def shard(docs: DataFrame, shards: int = 40, bits: int = 5) -> DataFrame:
         (place - F.ceil(k * F.col("total") / F.lit(shards)).cast("long")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("curve").alias("curve_index"),
+        *(["text_key"] if key else []),
     )
 
 
-def write_shards(sharded: DataFrame, docs: DataFrame, path: str) -> None:
-    """Documents in their shards, one folder each, in curve order inside a file."""
-    (
-        docs.join(sharded.select("doc_id", "text_crc32", "shard", "slot"), "doc_id")
-        .where(F.col("text_crc32") == F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-        .repartition("shard")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 40, bits: int = 5, parts: int = 8) -> None:
+    """All rows of ``docs``, with their columns, in their shards: one folder each, files in curve order.
+
+    Rows are known by doc_id and text (null-safe); rows alike in both are one another's
+    copies, so it doesn't matter which of them gets which slot. ``parts``: files of a shard.
+    """
+    shard_, slot, key, nth, own_key, own_nth, doc = free(docs, "shard", "slot", "key_", "nth_", "own_key_", "own_nth_", "doc_")
+    hash_ = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    # the nth row of those with the same doc_id and text
+    rows = docs.withColumn(own_key, hash_).withColumn(own_nth, F.row_number().over(Window.partitionBy("doc_id", own_key).orderBy(F.lit(0))))
+    at = shard(docs, shards, bits, key=True)
+    at = at.select(
+        F.col("doc_id").alias(doc),
+        F.col("text_key").alias(key),
+        F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("shard", "slot")).alias(nth),
+        F.col("shard").alias(shard_),
+        F.col("slot").alias(slot),
     )
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own_key) == F.col(key)) & (F.col(own_nth) == F.col(nth))
+    both = rows.join(at, same).select(*[F.col(f"`{c}`") for c in docs.columns], shard_, slot)
+    both.repartitionByRange(shards * parts, shard_, slot).sortWithinPartitions(shard_, slot).write.partitionBy(shard_).parquet(path)
 
 
 def op6_hilbert_sharding(spark, sf_dir: str) -> DataFrame:

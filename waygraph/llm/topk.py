@@ -11,8 +11,10 @@ Queries are taken ``PASS`` at a time, which bounds what is broadcast and held.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components, and rows
 without vec_id, take no part; only vectors of equal length meet; rows with the query's
-own vec_id are not its candidates; other repeated rows count each; an empty table gives
-an empty result; other columns are ignored.
+own vec_id are not its candidates; other repeated rows count each. Where rows that take
+part share a query's vec_id, the least of their vectors (as lists of numbers) is the query.
+Scores must fit a long: components so great that they could not raise ``ScoreRange``. An
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waygraph.llm.common import only
@@ -33,6 +35,16 @@ PASS = 4096
 ROWS, COLS = 512, 4096
 
 
+class ScoreRange(ValueError):
+    """Inner products of these vectors may not fit 64 bits."""
+
+
+def usable() -> Column:
+    """Rows that take part: an id, and components that are all there and finite."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))
+    return F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", bad)
+
+
 def vectors(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """vec_ids and integer vectors (as doubles) of a batch, by length."""
     ids, lists = batch.column("vec_id"), batch.column("embedding")
@@ -146,8 +158,8 @@ def search(rows: DataFrame, is_query, k: int = 5, size: int = PASS) -> DataFrame
     ``is_query``: a condition on vec_id. Every row is a candidate.
     """
     spark = rows.sparkSession
-    rows = only(rows, "vec_id", "embedding")
-    chosen = rows.where(is_query & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
+    rows = only(rows, "vec_id", "embedding").where(usable())
+    chosen = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     def norms(batches):
         for batch in batches:
@@ -155,6 +167,8 @@ def search(rows: DataFrame, is_query, k: int = 5, size: int = PASS) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([best])], names=["norm"])
 
     norm = rows.mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0] or 0.0
+    if norm * norm >= 2.0**62:
+        raise ScoreRange(f"a vector of length {norm:g}, in 256ths")
     # about size / 2 queries a pass
     passes = -(-2 * chosen.count() // size)
     out = None
