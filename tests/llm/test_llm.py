@@ -534,12 +534,41 @@ def test_words_late_in_a_long_class_count():
 def test_best_run_is_the_best():
     rnd = random.Random(5)
     for _ in range(200):
-        items = [("word" if rnd.random() < 0.5 else "p", 0, 0) for _ in range(12)]
-        items = [(k, rnd.randint(1, 5) if k == "word" else 0, b) for k, _, b in items]
-        score = lambda xs: sum(w if w else -3.25 for _, w, _ in xs)  # noqa: B023,E731
-        a, b = htmltext.best_run(items, {})
-        best = max((score(items[i:j]) for i in range(12) for j in range(i, 13)), default=0)
-        assert abs(score(items[a:b]) - max(best, 0)) < 1e-9
+        scores = [rnd.choice([-3.25, -1.0, 1.0, 2.0, 4.0]) for _ in range(12)]
+        a, b = htmltext.best_run(scores)
+        best = max((sum(scores[i:j]) for i in range(12) for j in range(i, 13)), default=0)
+        assert abs(sum(scores[a:b]) - max(best, 0)) < 1e-9
+
+
+BARE = (
+    "<body><div><div><a href=x>One link</a></div><div><a href=y>Two link</a></div></div>"
+    "<div><p>" + "plain words of the text that matter here " * 6 + "</p><p>and a short end of it all</p></div>"
+    "<div><div><a href=x>Three link</a></div><div><a href=y>Four link</a></div></div></body>"
+)
+
+
+def test_the_run_decides_without_content_elements():
+    got = htmltext.extract(BARE, {})
+    assert got.startswith("plain words") and got.endswith("short end of it all") and "link" not in got
+    # words that outweigh the tags take in everything
+    assert "Four link" in htmltext.extract(BARE, {"word": 9.0, "a:word": 9.0, "#tag": -0.1})
+    assert htmltext.extract(BARE, {"word": 0.0, "a:word": 0.0}) == ""
+
+
+def test_classes_are_learned(spark):
+    words = "some text that is long enough to be the content of a page " * 3
+    page = f'<body><div class="zork"><p>{words}</p></div><article><p>{words}A</p><div class="inner-x"><p>{words}B</p></div></article><div class="zork">{words}</div></body>'
+    weights = htmltext.learn(spark.createDataFrame([(i, page) for i in range(4)], "page_id long, html string"))
+    assert weights["in|div zork"] < 0 < weights["in|div inner-x"] and weights["word|article"] > weights.get("word|div zork", 0)
+    bare = page.replace("article>", "section>")  # the same classes, nothing that marks the content
+    assert htmltext.extract(bare, weights) == f"{words}A\n{words}B"
+    assert htmltext.extract(bare, {}) != htmltext.extract(bare, weights)
+
+
+def test_long_page(spark):
+    long = "<article>" + "".join(f"<p>paragraph {i} with several words in it</p>" for i in range(20000)) + "</article>"
+    (row,) = htmltext.extract_pages(spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string"), {}).collect()
+    assert row["text"].count("\n") == 19999 and row["text"].startswith("paragraph 0 with")
 
 
 def test_page_scan_of_unclosed_markup():

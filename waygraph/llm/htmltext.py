@@ -1,13 +1,16 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
-Words score positive, tags negative; how much comes from labelled pages: those that mark
-their content with <article> or <main> say which words and tags lie inside it. One scan
-finds the contiguous run of greatest score. The run names the place: the text is that of
-the smallest content element around it, without the parts that are never content (menus,
-forms, comments and the like), one line a block.
-
-Fitting takes at most ``TRAIN_PAGES`` pages (those of least hash); extraction covers every
-page whole.
+Words score positive, tags negative. How much comes from labelled pages: those that mark
+their content with <article> or <main> say which words and tags lie inside it, a word by
+the element around it, a tag by its name, class, id and role. One scan finds the contiguous
+run of greatest score; that is the content. The smallest element around the run completes
+it at its edges. Inside, elements that are never content (menus, forms and the like) go,
+and those whose class, id or role was learned to lie outside; a class that no labelled page
+has is judged by whether its words are usual for such parts (``OUT_WORDS``), with what was
+learned about those.
+
+Fitting takes at most ``TRAIN_PAGES`` pages (those of least hash) and ``TAG_KINDS`` kinds
+of tag; extraction covers every page whole.
 
 Edge cases: a null or empty html, and one without words, gives an empty text; unclosed
 elements, comments and attributes end with the page; repeated rows give equal rows; an
@@ -28,12 +31,12 @@ from pyspark.sql import functions as F
 
 from waygraph.llm.common import only
 
-TRAIN_PAGES, TAG_KINDS = 500, 2000
-WORD, TAG = 1.0, -3.25  # where nothing is learned
+TRAIN_PAGES, TAG_KINDS = 500, 6000
+WORD, TAG, OUTER = 1.0, -3.25, 0.02  # where nothing is learned; the least that a word scores
 
 TAG_END = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
-KEY = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+KEY = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "noscript", "template"}
 CLOSE = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in RAW}
 CONTENT = {"article", "main"}
@@ -99,14 +102,28 @@ def mark(name: str, rest: str) -> str:
     return f"{name} {keys}"[:80] if keys else name
 
 
+def usual(keys: str) -> str:
+    """What stands for a class that no labelled page has."""
+    return "~outer" if OUT_WORDS.search(" " + keys) else "~plain"
+
+
+def outside(mark_: str, keys: str, weights: dict[str, float] | None) -> bool:
+    """Is an element with this class, id or role no content? Before anything is learned its words say so."""
+    if not keys:
+        return False
+    word = -1.0 if usual(keys) == "~outer" else 1.0
+    if weights is None:
+        return word < 0
+    return weights.get(f"in|{mark_}", weights.get(f"in|{usual(keys)}", word)) < 0
+
+
 class Page:
     """Blocks of text with the elements around them, and the scored sequence."""
 
-    def __init__(self, page: str):
-        self.parent, self.name, self.out = [-1], ["#page"], [False]
+    def __init__(self, page: str, weights: dict[str, float] | None = None):
+        self.parent, self.name, self.mark, self.keys, self.out = [-1], ["#page"], ["#page"], [""], [False]
         self.blocks: list[tuple[int, str]] = []  # element, text
-        self.items: list[tuple[str, int, int]] = []  # mark or "", words, block
-        self.counts: list[tuple[str, bool]] = []
+        self.items: list[tuple[str, int, int, int]] = []  # mark or word kind, words, block, element
         here, text, links = 0, [], 0
 
         def flush():
@@ -120,8 +137,7 @@ class Page:
                 words = len(rest.split())
                 text.append(rest)
                 if words:
-                    self.items.append(("a:word" if links else "word", words, len(self.blocks)))
-                    self.counts.append(("a:word" if links else "word", here))
+                    self.items.append(("a:word" if links else "word", words, len(self.blocks), here))
                 continue
             key = mark(name, rest) if kind == "open" else "/" + name
             if name in BREAK:
@@ -131,9 +147,12 @@ class Page:
             if name == "a":
                 links = 1 if kind == "open" else 0
             if kind == "open" and name in HOLD and name not in VOID and not rest.endswith("/"):
-                never = name in NEVER or bool(OUT_WORDS.search(" " + labels(rest))) if name not in ("html", "body", "main") else False
+                keys = labels(rest)
+                never = name in NEVER or (name not in ("html", "body", "main") and outside(key, keys, weights))
                 self.parent.append(here)
                 self.name.append(name)
+                self.mark.append(key)
+                self.keys.append(keys)
                 self.out.append(self.out[here] or never)
                 here = len(self.name) - 1
             elif kind == "close" and name in HOLD:
@@ -142,10 +161,20 @@ class Page:
                     up = self.parent[up]
                 if up > 0:
                     here = self.parent[up]
-            self.items.append((key, 0, len(self.blocks)))
-            self.counts.append((key, here))
+            self.items.append((key, 0, len(self.blocks), here))
         flush()
 
+    def scored(self, weights: dict[str, float]) -> list[float]:
+        tag = weights.get("#tag", TAG)
+        out = []
+        for key, words, _, e in self.items:
+            if words:
+                one = weights.get(f"{key}|{self.mark[e]}", weights.get(key, WORD))
+                out.append(words * (min(one, OUTER) if self.out[e] else one))
+            else:
+                out.append(weights.get(key, tag))
+        return out
+
     def above(self, e: int) -> list[int]:
         out = []
         while e >= 0:
@@ -158,48 +187,38 @@ class Page:
         return next((x for x in self.above(e) if self.name[x] in CONTENT and not self.out[x]), -1)
 
 
-def best_run(items: list[tuple[str, int, int]], weights: dict[str, float]) -> tuple[int, int]:
+def best_run(scores: list[float]) -> tuple[int, int]:
     """Ends of the run of greatest score, in one scan; (0, 0) if none is positive."""
     best, ends, sum_, start = 0.0, (0, 0), 0.0, 0
-    tag = weights.get("#tag", TAG)
-    for i, (key, words, _) in enumerate(items):
+    for i, score in enumerate(scores):
         if sum_ <= 0:
             sum_, start = 0.0, i
-        sum_ += words * weights.get(key, WORD) if words else weights.get(key, tag)
+        sum_ += score
         if sum_ > best:
             best, ends = sum_, (start, i + 1)
     return ends
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
-    doc = Page(page or "")
-    a, b = best_run(doc.items, weights)
-    inside = sorted({min(block, len(doc.blocks) - 1) for _, words, block in doc.items[a:b] if words})
-    # a run that takes in foreign parts at its edges is judged by what is left of it
+    doc = Page(page or "", weights)
+    a, b = best_run(doc.scored(weights))
+    inside = sorted({min(block, len(doc.blocks) - 1) for _, words, block, _ in doc.items[a:b] if words} if doc.blocks else ())
     good = [i for i in inside if not doc.out[doc.blocks[i][0]]]
     if not good:
-        good = [i for i, (e, _) in enumerate(doc.blocks) if not doc.out[e]]
-        if not good:
-            return ""
-    homes = Counter()
-    for i in good:
-        if (c := doc.content(doc.blocks[i][0])) >= 0:
-            homes[c] += len(doc.blocks[i][1])
-    if homes:
-        home = max(homes, key=lambda e: (homes[e], -e))
-        up = doc.parent[home]
-        # an article within an article or main belongs to it
-        while up >= 0:
-            if doc.name[up] in CONTENT and doc.name[up] == "article":
-                home = up
-            up = doc.parent[up]
-    else:
-        paths = [doc.above(doc.blocks[i][0]) for i in (good[0], good[-1])]
-        home = next(e for e in paths[0] if e in set(paths[1]))
+        return ""
+    # the smallest element around what the run holds
+    paths = [doc.above(doc.blocks[i][0]) for i in (good[0], good[-1])]
+    other = set(paths[1])
+    home = next(e for e in paths[0] if e in other)
+    while doc.name[home] not in CONTENT and (up := next((e for e in doc.above(home) if doc.name[e] in CONTENT), -1)) >= 0:
+        home = up  # a part of the content that outscores the rest
     if doc.name[home] in ("html", "body", "#page"):
         lines = [doc.blocks[i][1] for i in range(good[0], good[-1] + 1) if not doc.out[doc.blocks[i][0]]]
     else:
-        lines = [t for e, t in doc.blocks if not doc.out[e] and home in doc.above(e)]
+        under = [False] * len(doc.name)
+        for e, up in enumerate(doc.parent):  # parents come first
+            under[e] = e == home or (up >= 0 and under[up])
+        lines = [t for e, t in doc.blocks if under[e] and not doc.out[e]]
     return "\n".join(lines)
 
 
@@ -208,15 +227,24 @@ def tally(page: str | None) -> Counter:
     doc, out = Page(page or ""), Counter()
     if not any(n in CONTENT for n in doc.name):
         return out
-    for (key, words, _), (_, e) in zip(doc.items, doc.counts, strict=True):
-        out[key, doc.content(e) >= 0 and not doc.out[e]] += words or 1
+    around = {x for e, n in enumerate(doc.name) if n in CONTENT for x in doc.above(e)}
+    inner = [doc.content(e) >= 0 and not doc.out[e] for e in range(len(doc.name))]
+    for key, words, _, e in doc.items:
+        out[key, inner[e]] += words or 1
+        if words:
+            out[f"{key}|{doc.mark[e]}", inner[e]] += words
+    for e, keys in enumerate(doc.keys):
+        if keys:
+            for key in (doc.mark[e], usual(keys)):
+                out[f"in|{key}", inner[e] or e in around] += 1
     return out
 
 
 def learn(pages: DataFrame, rows: int = TRAIN_PAGES, kinds: int = TAG_KINDS) -> dict[str, float]:
     """Log odds of lying inside, of words and of each kind of tag; signs are held."""
-    labelled = only(pages, "page_id", "html").where(F.lower("html").rlike(r"<(?:article|main)[\s>]"))
-    sample = labelled.orderBy(F.xxhash64("page_id"), "page_id").limit(rows)
+    labelled = only(pages, "page_id", "html").where(F.lower("html").rlike(r"<(?:article|main)[\s>]")).withColumn("h", F.xxhash64("page_id", "html"))
+    least = labelled.select("h").distinct().orderBy("h").limit(rows)  # numbers only; so few can be broadcast
+    sample = labelled.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"]).select("page_id", "html")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -230,15 +258,20 @@ def learn(pages: DataFrame, rows: int = TRAIN_PAGES, kinds: int = TAG_KINDS) ->
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("within"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("without")
     )
     found = counts.orderBy((F.col("within") + F.col("without")).desc(), "mark").limit(kinds).collect()
-    n1, n0 = (sum(r[c] for r in found) + 1 for c in ("within", "without"))
+    plain = [r for r in found if "|" not in r["mark"]]
+    n1, n0 = (sum(r[c] for r in plain) + 1 for c in ("within", "without"))
     out: dict[str, float] = {}
     tags = [0, 0]
     for r in found:
+        key = r["mark"]
+        if key.startswith("in|"):
+            out[key] = math.log(r["within"] + 0.5) - math.log(r["without"] + 0.5)
+            continue
         odds = math.log((r["within"] + 0.5) / n1) - math.log((r["without"] + 0.5) / n0)
-        if r["mark"] in ("word", "a:word"):
-            out[r["mark"]] = max(odds, 0.02)
+        if key.split("|")[0] in ("word", "a:word"):
+            out[key] = max(odds, OUTER)
         else:
-            out[r["mark"]] = min(odds, -0.1)
+            out[key] = min(odds, -0.1)
             tags[0] += r["within"]
             tags[1] += r["without"]
     if found:
