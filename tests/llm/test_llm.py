@@ -351,6 +351,14 @@ def test_topk_odd_rows(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_rows_that_share_an_id_and_great_values(spark):
+    search = lambda v: [tuple(r) for r in topk.search(spark.createDataFrame(v, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()]
+    # a bad row doesn't hide the good one; of two good ones the least is the query
+    assert search([(50, None), (50, [1.0, 2.0]), (50, [0.5, 9.0]), (1, [2.0, 0.0])]) == [(50, 1, 1, 256 * 256)]
+    with pytest.raises(topk.ScoreRange):
+        search([(50, [1e30]), (1, [1.0])])
+
+
 # ---- 6 ---------------------------------------------------------------------------------
 
 
@@ -381,6 +389,24 @@ def test_shards(spark):
     assert hilbert.shard(frame(spark, [])).count() == 0
 
 
+def test_written_shards(spark, tmp_path):
+    texts = ["a", "a", "b b", None, "", "c" * 50, "a"]
+    docs = frame(spark, texts, [1, 1, 1, None, None, 3, 3])
+    hilbert.write_shards(docs, str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] is None, r["text"])
+    assert sorted(map(key, back.collect()), key=str) == sorted(map(key, docs.collect()), key=str)
+    assert sorted(back.groupBy("shard").count().toPandas()["count"]) == [2, 2, 3]
+
+
+def test_buckets_keep_the_order_of_names(spark):
+    names = [f"http://site{i:03d}.org" for i in range(200)] + [None]
+    df = spark.createDataFrame([(n, n, 20) for n in names], "source string, lang string, size long")
+    got = {r["source"]: r["b"] for r in df.select("source", hilbert.buckets(df, 5)[0].alias("b")).collect()}
+    known = [got[n] for n in names[:-1]]
+    assert got[None] == 0 and known == sorted(known) and len(set(known)) > 20 and max(known) <= 31
+
+
 # ---- 7 ---------------------------------------------------------------------------------
 
 
@@ -408,6 +434,11 @@ def test_pii(spark):
     for i, t in enumerate(texts):
         if len(t or "") < 15000:  # the plain patterns take a square of time on long runs
             assert got[i] == plain_pii(t), t
+    # formats and words that the training rows don't have
+    good = ["Steuerkonto GB82 WEST 1234 5698 7654 32 bitte", "amex: 3782-822463-10005 valid", "dial 415.555.0132 now", "sandra (at) provider.net", "number 371449635398431."]
+    bad = ["GB82 WEST 1234 5698 7654 33", "article 3782-822463-10006 in stock", "isbn 013.555.0132 old", "x (at) 12.34"]
+    found = {r["doc_id"]: len(r["added"]) for r in pii.scan(frame(spark, good + bad), model).collect()}
+    assert [found[i] > 0 for i in range(len(good + bad))] == [True] * len(good) + [False] * len(bad)
     added = pii.scan(frame(spark, ["my ssn 123-45-6789 ok", "order 000-45-0000/a", ""]), model).collect()
     assert [[tuple(s) for s in r["added"]] for r in sorted(added)] == [[("ssn", 7, 18)], [], []]
     assert pii.scan(frame(spark, []), model).count() == 0

@@ -4,12 +4,16 @@ Everything is DataFrame code. A curve step is a look-up in a small state table,
 the curve index is one fold over the bit planes of the quantised dimensions.
 
 Edge cases: a null text has size 16 and the CRC of the empty string; null metadata
-gets its own bucket (0); repeated rows are rows of their own and get slots of their
-own; an empty table gives an empty result; other columns are ignored.
+gets its own bucket (0); a row without doc_id is a row like any other, the first of its
+cell; ties in the order go by doc_id, CRC and size, and rows alike in all three are
+interchangeable; repeated rows are rows of their own and get slots of their own; a text of
+any length is read for its size and CRC only; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 from itertools import product
 
@@ -113,13 +117,37 @@ def curve_path(dims: int, bits: int) -> list[tuple[int, ...]]:
     return [out[i] for i in sorted(out)]
 
 
-def buckets(df: DataFrame, bits: int) -> list[Column]:
-    """Quantised metadata: source, language, log size. Nulls go to bucket 0."""
+def _number(name: Column, skip: int) -> Column:
+    """The seven bytes after the first ``skip`` as a number, in the order of names."""
+    return F.conv(F.rpad(F.hex(F.substring(name.cast("binary"), skip + 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def name_cuts(rows: DataFrame, column: str, bits: int) -> tuple[int, list[int]]:
+    """Bytes that all names begin with, and at most 2**bits - 2 numbers that part the distinct names evenly."""
+    ends = rows.agg(F.min(column), F.max(column)).first()
+    raw = [(x or "").encode("utf-8", "surrogatepass") for x in ends]
+    skip = len(os.path.commonprefix(raw))
     top = (1 << bits) - 1
-    name = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.lit(top)).cast("int") + 1, F.lit(0))
+    names = rows.select(_number(F.col(column), skip).alias("n")).where("n IS NOT NULL").distinct()
+    cuts = names.agg(F.percentile_approx("n", [i / top for i in range(1, top)], 10000)).first()[0]
+    return skip, sorted(set(cuts or []))
+
+
+def buckets(rows: DataFrame, bits: int) -> list[Column]:
+    """Quantised metadata in its own order: source, language, log size. Nulls go to bucket 0.
+
+    Neighbouring buckets hold neighbouring names, so a file's range of names is narrow.
+    """
+    top = (1 << bits) - 1
+
+    def name(column: str) -> Column:
+        skip, cuts = name_cuts(rows, column, bits)
+        at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < _number(F.col(column), skip))) if cuts else F.lit(0)
+        return F.when(F.col(column).isNull(), 0).otherwise(at + 1)
+
     # about three buckets for each doubling of the size
     size = F.least(F.lit(top), F.floor(F.log2(F.col("size").cast("double")) * 1.25).cast("int"))
-    return [F.when(F.col("source").isNull(), 0).otherwise(name(F.col("source"))), F.when(F.col("lang").isNull(), 0).otherwise(name(F.col("lang"))), size]
+    return [name("source"), name("lang"), size]
 
 
 def shard(docs: DataFrame, shards: int = 40, bits: int = 5, key: bool = False) -> DataFrame:

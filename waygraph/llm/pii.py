@@ -7,8 +7,9 @@ CASE expressions, calibrated per corpus-independent hold-out, and spans over the
 threshold of their kind are added. The trees are fitted on the driver on a bounded set
 of rows generated by rule (``TRAIN_ROWS``): no table here labels personal data.
 
-Edge cases: a null or empty text has no spans; repeated rows give equal rows; an empty
-table gives an empty result; other columns are ignored. Digit chains and mailbox names
+Edge cases: a null or empty text has no spans; a row without doc_id is a row like any
+other; repeated rows give equal rows; proposals of equal probability are judged each by
+itself; an empty table gives an empty result; other columns are ignored. Digit chains and mailbox names
 are scanned once from their start, so that long runs cost linear time.
 """
 
@@ -124,30 +125,52 @@ def features(text: Column, m: Column, kind: str) -> list[Column]:
 # ---- fitting, on the driver, over a bounded set --------------------------------------
 
 
+#: Length of an account number by country, as published for the format.
+IBAN_DIGITS = {"DE": 18, "AT": 16, "PL": 24, "PT": 21, "DK": 14, "ES": 20, "SE": 20, "EE": 16}
+#: Contexts of generated rows: said for it, said against it, neither.
+TOLD = ("my ssn ", "social security no ", "tel. ", "phone: ", "call ", "bank account ", "IBAN ", "card ", "mail ", "contact ", "fax ", "write to ")
+DENIED = ("order ", "invoice ", "version ", "ref ", "page ", "isbn ", "serial ", "build ", "ticket ")
+PLAIN = ("", "the ", "of ", "and then ", "it was ", "see ", "with ", "nr ", "id ", "es ist ", "voici ", "que ", "(")
+
+
 def training_set(spark: SparkSession, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Generated candidates in contexts, with labels; features by the same expressions."""
+    """Generated candidates in contexts, with labels; features by the same expressions.
+
+    Right ones are made by the formats' own rules (check digits are computed), wrong ones
+    break a rule or stand where a number means something else. Two in five contexts say
+    nothing, and a tenth say the wrong thing.
+    """
     r = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     pick = lambda salt, words: F.element_at(F.array(*[F.lit(w) for w in words]), r(salt, len(words)) + 1)
-    digits = lambda salt, n: F.lpad(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(10**n)).cast("string"), n, "0")
+    digits = lambda salt, n: F.substring(F.concat(*[F.lpad(F.pmod(F.xxhash64("id", F.lit(f"{salt}{i}")), F.lit(10**9)).cast("string"), 9, "0") for i in range(-(-n // 9))]), 1, n)
     y = (r("y", 2) == 1).cast("int")
-    # a tenth of the contexts say the wrong thing
     told = F.when(r("noise", 10) == 0, 1 - y).otherwise(y)
-    says = F.when(told == 1, pick("f", ("my ssn ", "social security no ", "tel. ", "phone: ", "call ", "bank account ", "IBAN ", "card ", "mail ", "contact "))).otherwise(
-        pick("a", ("order ", "invoice ", "version ", "ref ", "page ", "isbn ", "the ", "of ", "serial ", "build "))
-    )
+    says = F.when(r("mute", 5) < 2, pick("p", PLAIN)).when(told == 1, pick("f", TOLD)).otherwise(pick("a", DENIED))
     sep = pick("sep", ("-", " ", "."))
-    amex = F.concat(F.lit("37"), digits("x1", 13))
+    country = pick("i2", tuple(IBAN_DIGITS))
+    account = lambda n: F.element_at(F.create_map(*[F.lit(x) for k in IBAN_DIGITS for x in (k, IBAN_DIGITS[k])]), n)
+    number = F.substring(digits("i4", 27), F.lit(1), account(country))
+    check = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), number))).cast("string"), 2, "0")
+    wrong = F.lpad(F.pmod(check.cast("int") + 1 + r("i3", 90), F.lit(97)).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(y == 1, check).otherwise(wrong), number)
+    iban = F.when(r("i5", 2) == 0, F.trim(F.regexp_replace(iban, r"(.{4})", r"$1 "))).otherwise(iban)
+    begun = F.concat(pick("m1", ("34", "37")), digits("m2", 12))
+    ended = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(begun, d.cast("string")))
+    amex = F.when(y == 1, F.element_at(F.filter(ended, luhn), 1)).otherwise(F.element_at(F.filter(ended, lambda x: ~luhn(x)), r("m3", 9) + 1))
+    amex = F.when(r("m4", 2) == 0, F.regexp_replace(amex, r"^(.{4})(.{6})(.{5})$", r"$1 $2 $3")).otherwise(amex)
+    part = lambda salt: pick(salt, ("an", "jo", "mi", "ka", "ro", "te", "li", "su", "ve", "do"))
+    person = F.concat(part("e1"), part("e2"), pick("e3", ("", ".", "_", "7")), part("e4"))
     shapes = {
-        "ssn": F.concat(F.when(y == 1, F.lpad((r("s1", 664) + 1).cast("string"), 3, "0")).otherwise(pick("s4", ("000", "666", "912", "123"))), F.lit("-"), F.lpad((r("s2", 98) + 1).cast("string"), 2, "0"), F.lit("-"), digits("s3", 4)),
-        "iban": F.when(y == 1, pick("i1", ("DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "ES9121000418450200051332"))).otherwise(F.concat(pick("i2", ("AB", "XY", "DE")), digits("i3", 2), digits("i4", 14))),
-        "local_phone": F.concat(F.when(y == 1, pick("l1", ("212", "415", "(617)", "803"))).otherwise(pick("l2", ("012", "100", "113", "415"))), sep, digits("l3", 3), sep, digits("l4", 4)),
-        "amex": F.when(y == 1, pick("m1", ("378282246310005", "371449635398431", "3714 496353 98431", "3782-822463-10005"))).otherwise(amex),
-        "masked_email": F.concat(pick("e1", ("jo.doe", "ann", "info", "x_y")), F.lit(" (at) "), F.when(y == 1, pick("e2", ("mail", "example"))).otherwise(digits("e3", 2)), F.lit("."), F.when(y == 1, pick("e4", ("com", "org", "de"))).otherwise(digits("e5", 2))),
+        "ssn": F.concat(F.when(y == 1, F.lpad((r("s1", 664) + 1).cast("string"), 3, "0")).otherwise(pick("s4", ("000", "666", "912", "955", "987"))), pick("s6", ("-", "-", " ")), F.lpad((r("s2", 98) + 1).cast("string"), 2, "0"), pick("s6", ("-", "-", " ")), F.lpad((r("s3", 9998) + 1).cast("string"), 4, "0")),
+        "iban": iban,
+        "local_phone": F.concat(F.when(y == 1, (r("l1", 800) + 200).cast("string")).otherwise(F.lpad(r("l2", 200).cast("string"), 3, "0")), sep, digits("l3", 3), sep, digits("l4", 4)),
+        "amex": amex,
+        "masked_email": F.concat(person, pick("e5", (" (at) ", " [at] ")), F.when(y == 1, F.concat(part("e6"), part("e7"))).otherwise(digits("e8", 2)), F.lit("."), F.when(y == 1, pick("e9", ("com", "org", "de", "net", "info"))).otherwise(digits("e0", 2))),
     }
     base = spark.range(0, rows, 1, 4).withColumn("k", F.pmod("id", F.lit(len(ADDED)))).withColumn("y", y).withColumn("says", says)
     out = []
     for i, kind in enumerate(ADDED):
-        made = base.where(F.col("k") == i).select("y", F.concat("says", shapes[kind], F.when(r("t", 3) == 0, "/a").otherwise(" and so on")).alias("text"))
+        made = base.where(F.col("k") == i).select("y", F.concat("says", shapes[kind], pick("t", (" and so on", ".", ", then", "/a", "")) ).alias("text"))
         m = F.element_at(F.col("ms"), 1)
         found = made.withColumn("ms", candidate_spans(F.col("text"))[kind]).where(F.size("ms") > 0)
         out += found.select("y", F.array(*features(F.col("text"), m, kind)).alias("x")).collect()

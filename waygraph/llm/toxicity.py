@@ -11,8 +11,10 @@ Fitting takes at most ``TRAIN_ROWS`` labelled rows (those of least hash) and ``T
 features; scoring covers every row and its whole text.
 
 Edge cases: a null or wordless text has only the intercepts' probability and, like
-everything when no row or only one class is labelled, is not toxic; repeated rows get equal scores; an
-empty table gives an empty result; other columns are ignored.
+everything when no row or only one class is labelled, is not toxic; repeated rows get equal scores, and a
+probability of just the threshold is toxic; a row without doc_id is scored like any other
+but trains nothing; a text of any length is scored whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
