@@ -20,7 +20,7 @@ def graph(xy, edges):
     return R.adjacency((u, v, math.dist(xy[u], xy[v])) for u, v in edges)
 
 
-def test_identical_graphs_score_one():
+def test_a_network_against_itself_is_perfect():
     adj = graph(LINE, [(0, 1), (1, 2), (2, 3)])
     rows = ev.od_rows(adj, LINE, adj, LINE, ev.Metric(**BASE | {"k": 1, "hops": 4}))
     assert rows and all(r["od"] == r["vanilla"] == 1.0 and r["routable"] for r in rows)
@@ -32,7 +32,7 @@ def test_shifted_geometry_costs_half():
     assert got[:3] == (0.75, 1.0, 0.5)
 
 
-def test_disconnected_prediction_scores_zero():
+def test_no_route_no_score():
     xy = {0: (0.0, 0.0), 1: (10.0, 0.0), 2: (20.0, 0.0)}
     rows = ev.od_rows(graph(xy, [(0, 1), (1, 2)]), xy, {}, xy, ev.Metric(**BASE | {"k": 1}))
     assert rows and not any(r["routable"] or r["od"] for r in rows)
@@ -92,6 +92,31 @@ def test_resample_keeps_ends_and_spacing():
     assert got[0] == (0, 0) and got[-1] == (100, 100) and len(got) == 5
 
 
+def test_bounded_search_gives_the_first_paths():
+    rnd = random.Random(9)
+    xy = {i: (rnd.random(), rnd.random()) for i in range(40)}
+    edges = [(u, v) for u, v in itertools.combinations(range(40), 2) if math.dist(xy[u], xy[v]) < 0.25]
+    adj = graph(xy, edges)
+    for t in range(1, 40, 4):
+        whole = list(itertools.islice(R.simple_paths(adj, 0, t), 12))
+        some = list(R.simple_paths(adj, 0, t, 12))
+        assert [p for _, p in some] == [p for _, p in whole]
+        assert all(abs(a[0] - b[0]) < 1e-9 for a, b in zip(some, whole, strict=True))
+
+
+def test_seats():
+    assert R.seats([100.0, 10.0, 1.0], [9, 9, 9], 8) == [4, 2, 2]
+    assert R.seats([100.0, 10.0], [3, 9], 8) == [3, 5]
+    assert R.seats([5.0, 5.0], [1, 9], 4) == [1, 3]
+
+
+def test_milestones_and_chains():
+    adj = R.adjacency([(i, i + 1, 10.0) for i in range(6)])
+    assert R.milestones(list(range(7)), adj, 25.0) == [0, 3, 6]
+    assert R.control_points(adj, {i: (10.0 * i, 0.0) for i in range(7)}, 40.0, 20) == [0, 4, 6]
+    assert R.chains(adj) == ([list(range(7))], [])
+
+
 def test_spread_and_limits():
     xy = {i: (float(i), 0.0) for i in range(11)}
     assert R.spread(list(xy), xy, 1) == [5]
@@ -167,6 +192,20 @@ def test_radius_join_is_inclusive(spark):
     assert sorted((r["a"], r["b"]) for r in spatial.radius_join(p, 5, "id").collect()) == [(1, 2), (2, 3)]
 
 
+def test_clip_equals_all_pairs(spark):
+    rnd = random.Random(3)
+    seg = [(i, *(float(rnd.randint(-50, 150)) for _ in range(4))) for i in range(60)]
+    box = [(k, 30.0 * (k % 4), 30.0 * (k // 4), 30.0 * (k % 4) + 30, 30.0 * (k // 4) + 30) for k in range(16)]
+    s = spark.createDataFrame(seg, "sid long, x1 double, y1 double, x2 double, y2 double")
+    b = spark.createDataFrame(box, "bid long, x0 double, y0 double, xe double, ye double")
+    length = {(r["sid"], r["bid"]): math.dist((r["cx1"], r["cy1"]), (r["cx2"], r["cy2"])) for r in spatial.clip(s, b, 40).collect()}
+    for i, *p in seg:
+        for k, *q in box:  # by stepping along the segment
+            inside = [t for t in range(2001) if q[0] <= p[0] + t / 2000 * (p[2] - p[0]) <= q[2] and q[1] <= p[1] + t / 2000 * (p[3] - p[1]) <= q[3]]
+            want = (len(inside) - 1) / 2000 * math.dist(p[:2], p[2:]) if inside else 0
+            assert abs(length.get((i, k), 0) - want) < 0.5
+
+
 def test_splitting_keeps_length(spark):
     e = spark.createDataFrame([(1, 2, 0.0, 0.0, 100.0, 0.0)], "u long, v long, x1 double, y1 double, x2 double, y2 double")
     got = split_edges(e, 30.0).orderBy("piece").collect()

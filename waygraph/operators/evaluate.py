@@ -73,11 +73,17 @@ def od_rows(gt: R.Adjacency, xy_gt: dict, pred: R.Adjacency, xy_pred: dict, m: M
 
         rank = lambda p: hashlib.sha256(f"{m.seed}:{p[0]}:{p[1]}".encode()).digest()
         pairs = sorted(sorted(pairs, key=rank)[: m.pairs])
-    out = []
+    out, trees = [], {}
+
+    def paths(side: str, adj: R.Adjacency, a: int, b: int) -> list:
+        if (side, b) not in trees:  # distances to b serve all pairs that end there
+            trees[side, b] = R.dijkstra(adj, b)[0]
+        return R.diverse(adj, a, b, m.k, m.theta, m.candidates, trees[side, b])
+
     for s, t, length in pairs:
         a, b = to[s], to[t]
-        g = R.diverse(gt, s, t, m.k, m.theta, m.candidates)
-        p = R.diverse(pred, a, b, m.k, m.theta, m.candidates) if a is not None and b is not None else []
+        g = paths("gt", gt, s, t)
+        p = paths("pred", pred, a, b) if a is not None and b is not None else []
         od, ln, ge, vanilla, _ = score_paths(g, p, xy_gt, xy_pred, m)
         out.append({"s": s, "t": t, "gt_length": float(length), "gt_paths": len(g), "pred_paths": len(p), "matched": a is not None and b is not None, "routable": bool(p), "od": od, "length": ln, "geometry": ge, "vanilla": vanilla})
     return out

@@ -40,6 +40,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components are not done after {rounds} rounds")
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
@@ -74,14 +76,14 @@ def hops(edges: DataFrame, start: DataFrame, depth: int, stop: DataFrame | None
 
     ``start`` has source; a node of ``stop`` (column n) is reached but not gone on from.
     """
-    two = both_ways(edges.select("u", "v"))
-    seen = start.select("source", F.col("source").alias("n"), F.lit(0).alias("hop"))
-    for d in range(1, depth + 1):
-        edge = seen.where(F.col("hop") == d - 1)
-        if stop is not None:
-            edge = edge.join(stop, "n", "left_anti")
-        step = edge.join(two.withColumnRenamed("u", "n"), "n").select("source", F.col("v").alias("n"), F.lit(d).alias("hop"))
-        seen = seen.unionByName(step).groupBy("source", "n").agg(F.min("hop").alias("hop"))
+    two = both_ways(edges.select("u", "v")).withColumnRenamed("u", "n")
+    edge = start.select("source", F.col("source").alias("n")).distinct()
+    seen = edge.withColumn("hop", F.lit(0))
+    for d in range(1, depth + 1):  # each level is stored, and only its new nodes are gone on from
+        on = edge if stop is None else edge.join(stop, "n", "left_anti")
+        step = on.join(two, "n").select("source", F.col("v").alias("n")).distinct()
+        edge = stored(step.join(seen, ["source", "n"], "left_anti"), "hops")
+        seen = seen.unionByName(edge.withColumn("hop", F.lit(d)))
     return seen
 
 

@@ -112,12 +112,22 @@ def near_segments(points: DataFrame, segments: DataFrame, radius) -> DataFrame:
     return p.join(s, ["_i", "_j"]).where(d2 <= radius * radius).select("pid", "sid")
 
 
-def clip(segments: DataFrame, boxes: DataFrame) -> DataFrame:
+def clip(segments: DataFrame, boxes: DataFrame, size) -> DataFrame:
     """Parts of segments (sid, x1..y2) inside boxes (bid, x0, y0, xe, ye): Liang-Barsky in columns.
 
-    Boxes are few (tiles); a part of no length is dropped.
+    Both are laid out over the cells of ``size`` that they cover; a pair that meets in
+    several cells counts in the first one only. A part of no length is dropped.
     """
-    s = segments.crossJoin(F.broadcast(boxes)).where("greatest(x1, x2) >= x0 AND least(x1, x2) <= xe AND greatest(y1, y2) >= y0 AND least(y1, y2) <= ye")
+
+    def laid(df: DataFrame, ends: dict[str, tuple[Column, Column]], p: str) -> DataFrame:
+        for axis, (lo, hi) in ends.items():
+            df = df.withColumn(f"{p}{axis}", _cell(lo, size)).withColumn(f"_{axis}", F.explode(F.sequence(_cell(lo, size), _cell(hi, size))))
+        return df
+
+    s = laid(segments, {c: (F.least(f"{c}1", f"{c}2"), F.greatest(f"{c}1", f"{c}2")) for c in ("x", "y")}, "_s")
+    b = laid(boxes, {c: (F.col(f"{c}0"), F.col(f"{c}e")) for c in ("x", "y")}, "_b")
+    first = (F.col("_x") == F.greatest("_sx", "_bx")) & (F.col("_y") == F.greatest("_sy", "_by"))
+    s = s.join(b, ["_x", "_y"]).where(first).where("greatest(x1, x2) >= x0 AND least(x1, x2) <= xe AND greatest(y1, y2) >= y0 AND least(y1, y2) <= ye")
     dx, dy = (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")
     entry, leave = [F.lit(0.0)], [F.lit(1.0)]
     for d, at, lo, hi in ((dx, "x1", "x0", "xe"), (dy, "y1", "y0", "ye")):

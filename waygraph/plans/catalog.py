@@ -292,7 +292,7 @@ def _(spark, sf):
 
 @query("p02_tile_pixel_to_degrees", f"SELECT tile, r, c, patch, {m('minx + ((c + 0.5) / greatest(1, 48)) * (maxx - minx)')} AS lon, {m('maxy - ((r + 0.5) / greatest(1, 64)) * (maxy - miny)')} AS lat FROM (SELECT DISTINCT tile, patch, r, c FROM fx_pixel) JOIN fx_manifest ON tile = k")
 def _(spark, sf):
-    px = fx.pixels(spark, sf).select("tile", "patch", "r", "c").distinct().join(F.broadcast(fx.manifest(spark, sf)), F.col("tile") == F.col("k"))
+    px = fx.pixels(spark, sf).select("tile", "patch", "r", "c").distinct().join(fx.manifest(spark, sf), F.col("tile") == F.col("k"))
     lon, lat = geo.tile_pixel_to_deg(F.col("r"), F.col("c"), F.lit(48), F.lit(64), *(F.col(c) for c in ("minx", "miny", "maxx", "maxy")))
     return px.select("tile", "r", "c", "patch", micro(lon).alias("lon"), micro(lat).alias("lat"))
 

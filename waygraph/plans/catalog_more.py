@@ -39,21 +39,26 @@ def _(spark, sf):
     return fx.pixels(spark, sf).where("v > 200").selectExpr("tile", "c AS x", "r AS y", "v AS score", "patch")
 
 
-NEAR_UP = f"up AS (SELECT b.id AS lo, a.id AS hi FROM {POINT} a JOIN {POINT} b ON a.id <> b.id AND abs(a.x - b.x) <= 200 AND abs(a.y - b.y) <= 200 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 40000 AND (a.score > b.score OR (a.score = b.score AND a.id < b.id)))"
+def greedy_sql(cols: str, radius: int, where: str = "TRUE", same: str = "TRUE", free: str = "FALSE") -> str:
+    """The greedy pass, a point a step of the recursion; kept: ranks of the points kept so far."""
+    return f"""WITH RECURSIVE rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS i FROM (SELECT *, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS class FROM {POINT}) WHERE {where}),
+    up AS (SELECT b.i, {free.replace("id", "b.id")} AS free, coalesce(list(a.i) FILTER (WHERE a.i IS NOT NULL), []) AS above FROM rk b LEFT JOIN rk a ON a.i < b.i AND {same} AND abs(a.x - b.x) <= {radius} AND abs(a.y - b.y) <= {radius} AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {radius * radius} GROUP BY b.i, b.id),
+    run(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT up.i, CASE WHEN NOT up.free AND list_has_any(run.kept, up.above) THEN run.kept ELSE list_append(run.kept, up.i) END FROM run JOIN up ON up.i = run.i + 1)
+    SELECT {cols} FROM rk WHERE i IN (SELECT unnest(kept) FROM run WHERE run.i = (SELECT max(i) FROM rk))"""
 
 
-@query("f03_greedy_nms")
+@query("f03_greedy_nms", greedy_sql("id, x, y, score", 200))
 def _(spark, sf):
     return nms.suppress(points(spark, sf), 200).select("id", "x", "y", "score")
 
 
-@query("f04_training_nms")
+@query("f04_training_nms", greedy_sql("id, x, y, score", 200, free="id % 10 = 0"))
 def _(spark, sf):
     p = points(spark, sf).withColumn("always", F.col("id") % 10 == 0)
     return nms.suppress(p, 200, exempt="always").select("id", "x", "y", "score")
 
 
-@query("f21_class_proposals")
+@query("f21_class_proposals", greedy_sql("class, id, x, y, score", 150, "score > 100", "a.class = b.class"))
 def _(spark, sf):
     p = points(spark, sf).withColumn("class", F.when(F.col("id") % 3 == 0, 1).otherwise(0)).where("score > 100")
     return nms.suppress(p, 150, by=["class"]).select("class", "id", "x", "y", "score")
@@ -252,7 +257,7 @@ def _(spark, sf):
   WHERE greatest(x1, x2) >= x0 AND least(x1, x2) <= xe AND greatest(y1, y2) >= y0 AND least(y1, y2) <= ye) WHERE t0 < t1""".replace("2001.4", "2001.4::DOUBLE"))
 def _(spark, sf):
     boxes = fx.manifest(spark, sf).selectExpr("k AS bid", "k % 5 * 2001.4D AS x0", "k div 5 * 2001.4D AS y0", "k % 5 * 2001.4D + 2001.4D AS xe", "k div 5 * 2001.4D + 2001.4D AS ye")
-    c = spatial.clip(_segments(spark, sf).withColumnRenamed("id", "sid"), boxes)
+    c = spatial.clip(_segments(spark, sf).withColumnRenamed("id", "sid"), boxes, 1000)
     return c.select("sid", "bid", *[micro(F.col(n)).alias(n) for n in ("cx1", "cy1", "cx2", "cy2")])
 
 
@@ -502,7 +507,7 @@ def _(spark, sf):
     return tiles.bridge_edges(fx.edges(spark, sf).where("s >= 600").select(F.col("tile").alias("graph_id"), "u", "v"))
 
 
-def _ring_graphs(spark, sf, limit=40):
+def _ring_graphs(spark, sf):
     """Graphs for path work: the sparse edges of each small cell of the plane."""
     n = fx.nodes(spark, sf)
     cell = n.selectExpr("nid", "x", "y", "(x div 1700) * 10 + (y div 1700) AS graph_id")
@@ -743,7 +748,7 @@ def _(spark, sf):
     local = n.withColumn("i", F.row_number().over(Window.partitionBy("tile").orderBy("nid")) - 1)
     sizes = n.groupBy("tile").agg(F.count("*").alias("c"))
     at = sizes.select("tile", (F.sum("c").over(Window.orderBy("tile")) - F.col("c")).alias("pos"))  # a row a tile
-    return local.join(F.broadcast(at), "tile").select("tile", "nid", (F.col("pos") + F.col("i")).alias("new"))
+    return local.join(at, "tile").select("tile", "nid", (F.col("pos") + F.col("i")).alias("new"))
 
 
 @query("u02_union_passes", "SELECT u, v FROM fx_observation WHERE mix = 1 AND s > 700 UNION SELECT u, v FROM fx_observation WHERE mix = 0 AND s > 500")
