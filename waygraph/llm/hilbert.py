@@ -142,7 +142,8 @@ def buckets(rows: DataFrame, bits: int) -> list[Column]:
 
     def name(column: str) -> Column:
         skip, cuts = name_cuts(rows, column, bits)
-        at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < _number(F.col(column), skip))) if cuts else F.lit(0)
+        number = _number(F.col(column), skip)  # the same expression each time, evaluated once a row
+        at = sum(((F.lit(c) < number).cast("int") for c in cuts), F.lit(0))
         return F.when(F.col(column).isNull(), 0).otherwise(at + 1)
 
     # about three buckets for each doubling of the size
