@@ -1,10 +1,14 @@
 """Sources and sinks on odd input."""
 
+import struct
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waygraph.operators import tiles
-from waygraph.sources import files, sinks
+from waygraph.sources import files, images, sinks
 from waygraph.streaming import resume
 
 
@@ -66,3 +70,47 @@ def test_number_specs(spark):
 def test_natural_key(spark):
     s = spark.createDataFrame([("region_10.p",), ("region_9.p",), ("none",)], "n string")
     assert [r["n"] for r in s.orderBy(files.natural_key(F.col("n")).asc_nulls_last()).collect()] == ["region_9.p", "region_10.p", "none"]
+
+
+def test_nested_collections(spark):
+    g = '{"type":"LineString","coordinates":[[0,0],[1,1]]}'
+    for _ in range(3):
+        g = '{"type":"GeometryCollection","geometries":[' + g + "]}"
+    assert files.geojson_lines(spark.createDataFrame([(1, g)], "fid long, geometry string")).count() == 2
+    for _ in range(4):
+        g = '{"type":"GeometryCollection","geometries":[' + g + "]}"
+    with pytest.raises(Exception, match="nested"):
+        files.geojson_lines(spark.createDataFrame([(1, g)], "fid long, geometry string")).collect()
+
+
+def test_unknown_systems_are_an_error(spark):
+    far = spark.createDataFrame([(500.0, 2.0)], "x double, y double")
+    with pytest.raises(Exception, match="not degrees"):
+        files.checked_crs(far).collect()
+    assert files.checked_crs(far.where("x < 0").unionByName(spark.createDataFrame([(1.0, 2.0)], "x double, y double"))).first()["epsg"] == 4326
+
+
+def test_png_filters_and_masks():
+    rnd = np.random.default_rng(1)
+    img = rnd.integers(0, 256, (9, 7, 3)).astype(np.uint8)
+    assert (images.decode_png(images.encode_png(img)) == img).all()
+    # every line filter, made by its definition
+    lines = []
+    flat = img.astype(int)
+    zero = np.zeros((7, 3), int)
+    for r in range(9):
+        how, now, up = r % 5, flat[r], flat[r - 1] if r else zero
+        left = np.vstack([zero[:1], now[:-1]])
+        corner = np.vstack([zero[:1], up[:-1]])
+        p = left + up - corner
+        near = np.stack([abs(p - left), abs(p - up), abs(p - corner)])
+        guess = [zero, left, up, (left + up) // 2, np.choose(near.argmin(axis=0), [left, up, corner])][how]
+        lines.append(bytes([how]) + ((now - guess) % 256).astype(np.uint8).tobytes())
+    head = struct.pack(">IIBBBBB", 7, 9, 8, 2, 0, 0, 0)
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + b"0000"
+    raw = images.SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    assert (images.decode_png(raw) == img).all()
+    with pytest.raises(ValueError, match="two dimensions"):
+        images.decode(images.encode_png(img), mask=True)
+    with pytest.raises(ValueError, match="not a PNG"):
+        images.decode(b"GIF89a", mask=False)

@@ -135,3 +135,13 @@ def strided(length: Column, patch: Column, margin: Column, least: Column) -> Col
 def coverage_patches(length: Column, patch: Column, overlap: Column) -> Column:
     o = F.least(F.lit(0.95), F.greatest(F.lit(0.0), overlap))
     return F.when(length <= patch, 1).otherwise(F.ceil((length - patch) / (patch * (1 - o))).cast("int") + 1)
+
+
+def project_line(points: Column) -> Column:
+    """array<struct<x, y>> of degrees in mercator metres."""
+
+    def one(p: Column) -> Column:
+        x, y = mercator(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(points, one)

@@ -70,3 +70,11 @@ def collapse_junctions(nodes: DataFrame, edges: DataFrame, radius) -> tuple[Data
     clusters = stored(nodes.select("nid").join(found, "nid", "left").select("nid", F.coalesce("cid", "nid").alias("cid")), "junctions")
     center = nodes.join(clusters, "nid").groupBy("cid").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     return center, dedup_edges(remap(edges, clusters))
+
+
+def concat_shapes(parts: list[DataFrame], shape: str = "shape") -> DataFrame:
+    """Rows of all parts, one of each shape."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col(shape).isNotNull()).dropDuplicates([shape])

@@ -137,3 +137,24 @@ def clip(segments: DataFrame, boxes: DataFrame, size) -> DataFrame:
     t = s.withColumn("t0", F.greatest(*entry)).withColumn("t1", F.least(*leave)).where("t0 < t1")
     at = lambda a, d, q: (F.col(a) + F.col(q) * d).alias
     return t.select("sid", "bid", at("x1", dx, "t0")("cx1"), at("y1", dy, "t0")("cy1"), at("x1", dx, "t1")("cx2"), at("y1", dy, "t1")("cy2"))
+
+
+def noded(segments: DataFrame, size) -> DataFrame:
+    """(id, t0, t1, ax, ay, bx, by_): segments (id, x1, y1, x2, y2) cut wherever two cross.
+
+    t: the share of the segment's length; pieces that meet have equal t there, so they share an end.
+    """
+    s = segments.select("id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    met = crossings(segments, size)
+    both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one, two = (s.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("x1", "y1", "x2", "y2")]) for k in ("a", "b"))
+    d = lambda k, c: F.col(f"{k}_{c}2") - F.col(f"{k}_{c}1")
+    off = lambda c: F.col(f"b_{c}1") - F.col(f"a_{c}1")
+    t = (off("x") * d("b", "y") - off("y") * d("b", "x")) / (d("a", "x") * d("b", "y") - d("a", "y") * d("b", "x"))
+    cuts = both.join(one, "a").join(two, "b").select(F.col("a").alias("id"), t.alias("t")).distinct()
+    places = cuts.groupBy("id").agg(F.collect_set("t").alias("ts"))  # a segment's own crossings
+    full = F.array_sort(F.array_union(F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(0.0), F.lit(1.0))))
+    piece = s.join(places, "id", "left").withColumn("ts", full).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("ts") - 2)))
+    piece = piece.withColumn("t0", F.get("ts", F.col("k"))).withColumn("t1", F.get("ts", F.col("k") + 1))
+    at = lambda c, q: F.col(f"{c}1") + F.col(q) * (F.col(f"{c}2") - F.col(f"{c}1"))
+    return piece.select("id", "t0", "t1", at("x", "t0").alias("ax"), at("y", "t0").alias("ay"), at("x", "t1").alias("bx"), at("y", "t1").alias("by_"))

@@ -184,3 +184,36 @@ def line_distances(lines: DataFrame) -> DataFrame:
         return pd.DataFrame([(int(pdf.line.iloc[0]), R.hausdorff(p, p[::2]), R.frechet(p, p[::2]))], columns=["line", "hausdorff", "frechet"])
 
     return lines.groupBy("line").applyInPandas(run, "line long, hausdorff double, frechet double")
+
+
+def filled(given: Column, defaults: dict[str, str]) -> Column:
+    """A config (map of strings) with the defaults of the keys that it lacks; empty values are kept."""
+    own = F.coalesce(given, F.create_map().cast("map<string,string>"))
+    base = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(own), k)), own)
+
+
+def ground_truth(segments: DataFrame, boxes: DataFrame, size) -> DataFrame:
+    """Parts of segments inside the union box of ``boxes`` (x0, y0, xe, ye)."""
+    from waygraph.operators.spatial import clip
+
+    union = boxes.agg(F.lit(0).alias("bid"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("xe").alias("xe"), F.max("ye").alias("ye"))
+    return clip(segments, union, size)
+
+
+def metric_pieces(lines: DataFrame, spacing: float) -> DataFrame:
+    """(line, seq, piece, pieces, at, x, y): lines in degrees (line, seq, x, y), projected about their mean and densified.
+
+    ``at`` names the place: a vertex's number along its line, plus the share of the way to the next.
+    """
+    from waygraph.functions import geo
+
+    origin = lines.agg(F.avg("x").alias("lon0"), F.avg("y").alias("lat0"))  # one row
+    x, y = geo.local_metres(F.col("x"), F.col("y"), F.col("lon0"), F.col("lat0"))
+    p = lines.crossJoin(F.broadcast(origin)).select("line", "seq", x.alias("x"), y.alias("y"))
+    w = Window.partitionBy("line").orderBy("seq")
+    p = p.withColumn("i", F.row_number().over(w) - 1).withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 IS NOT NULL")
+    d = F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))
+    cut = p.withColumn("pieces", F.greatest(F.lit(1), F.ceil(d / spacing).cast("int"))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces"))))
+    t = F.col("piece") / F.col("pieces")
+    return cut.select("line", "seq", "piece", "pieces", (F.col("i") + t).alias("at"), (F.col("x") + t * (F.col("x2") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y2") - F.col("y"))).alias("y"))

@@ -807,3 +807,6 @@ def _(spark, sf):
 def _(spark, sf):
     w = resume.windowed_counts(T(spark, sf, "events"))
     return w.select(F.to_date("w.start").alias("day"), "event_type", "n")
+
+
+from waygraph.plans import catalog_extra  # noqa: E402,F401  the rest of the queries

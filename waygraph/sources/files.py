@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Collections within collections that are taken apart; deeper ones are an error.
+NESTED = 4
 TILE = "struct<tile_id:string,id:string,image_path:string,bbox:array<double>>"
 
 
@@ -81,9 +83,14 @@ def geojson_lines(features: DataFrame, geometry: str = "geometry") -> DataFrame:
 
     ``features`` has fid and the geometry as JSON. Lines of under two points go, and third coordinates.
     """
-    flat = features.select("fid", F.col(geometry).alias("g"))
-    inner = flat.where(F.get_json_object("g", "$.type") == "GeometryCollection").select("fid", F.explode(F.from_json(F.get_json_object("g", "$.geometries"), "array<string>")).alias("g"))
-    flat = flat.where(F.get_json_object("g", "$.type") != "GeometryCollection").unionByName(inner)
+    rest, plain = features.select("fid", F.col(geometry).alias("g")), None
+    for _ in range(NESTED + 1):  # a plan, not a loop over data: each level takes one layer of collections apart
+        kind = F.get_json_object("g", "$.type")
+        flat = rest.where(kind != "GeometryCollection")
+        plain = flat if plain is None else plain.unionByName(flat)
+        rest = rest.where(kind == "GeometryCollection").select("fid", F.explode(F.from_json(F.get_json_object("g", "$.geometries"), "array<string>")).alias("g"))
+    too_deep = F.raise_error(F.lit(f"collections nested over {NESTED} deep")).cast("string")
+    flat = plain.unionByName(rest.select("fid", F.when(F.get_json_object("g", "$.type") == "GeometryCollection", too_deep).otherwise(F.col("g")).alias("g")))
     kind, coords = F.get_json_object("g", "$.type"), F.get_json_object("g", "$.coordinates")
     one = F.array(F.from_json(coords, "array<array<double>>"))
     lines = F.when(kind == "LineString", one).when(kind == "MultiLineString", F.from_json(coords, "array<array<array<double>>>"))
@@ -178,3 +185,28 @@ def walkways(ways: DataFrame) -> DataFrame:
     designated = has("foot", "designated")
     not_crossing = F.coalesce(t("highway") == "footway", F.lit(False)) & ~has("footway", "crossing")
     return ways.where((sidewalk | designated | not_crossing) & F.col("geometry").isNotNull()).dropDuplicates(["geometry"])
+
+
+def box_option(text: Column, order: str) -> Column:
+    """struct<west, south, east, north> of four numbers parted by commas, in the order "swne" or "wsen"; null if they are no box."""
+    names = {"swne": ("south", "west", "north", "east"), "wsen": ("west", "south", "east", "north")}[order]
+    number = F.transform(F.split(text, ","), lambda x: F.nullif(F.regexp_extract(F.trim(x), r"^[+-]?[0-9]+(?:\.[0-9]*)?$", 0), F.lit("")).cast("double"))
+    at = {n: F.get(number, F.lit(i)) for i, n in enumerate(names)}
+    good = (F.size(number) == 4) & (at["south"] < at["north"]) & (at["west"] < at["east"])
+    return F.when(good, F.struct(*[at[n].alias(n) for n in ("west", "south", "east", "north")]))
+
+
+def union_networks(parts: list[DataFrame]) -> DataFrame:
+    """(line, seq, x, y) in mercator metres of line networks in degrees (line, seq, x, y); empty ones add nothing."""
+    from functools import reduce
+
+    from waygraph.functions import geo
+
+    every = reduce(DataFrame.unionByName, parts)
+    x, y = geo.mercator(F.col("x"), F.col("y"))
+    return every.where("x IS NOT NULL AND y IS NOT NULL").select("line", "seq", x.alias("x"), y.alias("y"))
+
+
+def checked_crs(points: DataFrame) -> DataFrame:
+    """``sniff_crs``, but an error where the coordinates are no degrees."""
+    return sniff_crs(points).select(F.coalesce("epsg", F.raise_error(F.lit("coordinates are not degrees, and no system is named")).cast("int")).alias("epsg"))

@@ -59,3 +59,24 @@ def graph_edges_for_json(adjacent: DataFrame) -> DataFrame:
     known = adjacent.select("n").distinct()
     pairs = adjacent.join(known.withColumnRenamed("n", "m"), "m", "left_semi").where("n <> m")
     return pairs.select(F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v")).distinct()
+
+
+def save_minimal(edges: DataFrame, path: str) -> None:
+    """Edges by tile (tile_id) and nothing else, for bulk runs."""
+    edges.write.mode("overwrite").partitionBy("tile_id").parquet(path)
+
+
+def save_network(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A network without tiles: Parquet, CSV of nodes and of edges, line-wise features, and a summary of counts as JSON."""
+    save_graph(nodes, edges, path)
+    nodes.write.mode("overwrite").option("header", True).csv(f"{path}/nodes_csv")
+    edges.write.mode("overwrite").option("header", True).csv(f"{path}/edges_csv")
+    counts = nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+    counts.write.mode("overwrite").json(f"{path}/summary")
+
+
+def save_summary(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """CSV with a line for each tile that has edges: tile_id, nodes, edges."""
+    n = nodes.groupBy("tile_id").agg(F.count("*").alias("nodes"))
+    e = edges.groupBy("tile_id").agg(F.count("*").alias("edges"))
+    n.join(e, "tile_id").select("tile_id", "nodes", "edges").write.mode("overwrite").option("header", True).csv(path)

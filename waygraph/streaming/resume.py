@@ -46,3 +46,40 @@ def cached(spark: SparkSession, path: str, version: str, build) -> DataFrame:
 def windowed_counts(events: DataFrame, length: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Extension: events by window and type, batch or stream. ts is cast, as a watermark needs."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"))
+
+
+def save_then_log(rows: DataFrame, path: str, log: str) -> None:
+    """Appends rows to ``path``, and only when that has succeeded their tiles (tile_id) to the done log, as JSON lines."""
+    rows.write.mode("append").parquet(path)
+    rows.select("tile_id").distinct().write.mode("append").json(log)
+
+
+def stream_bounded(spark: SparkSession, source: str, schema, files: int, sink: str, checkpoint: str) -> int:
+    """Copies arrivals with at most ``files`` of them in flight; returns the batches it took."""
+    seen: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        seen.append(number)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return len(seen)
+
+
+def isolated(rows: DataFrame, key: str, step) -> DataFrame:
+    """``rows`` (key) with error: what ``step`` of the key raised, or null; one failure doesn't end the others."""
+
+    def run(batches):
+        for pdf in batches:
+            said = []
+            for k in pdf[key]:
+                try:
+                    step(int(k))
+                    said.append(None)
+                except Exception as e:  # noqa: BLE001  told in the row
+                    said.append(str(e))
+            pdf["error"] = said
+            yield pdf
+
+    return rows.select(key).mapInPandas(run, f"{key} long, error string")
