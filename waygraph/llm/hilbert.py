@@ -142,9 +142,10 @@ def buckets(rows: DataFrame, bits: int) -> list[Column]:
 
     def name(column: str) -> Column:
         skip, cuts = name_cuts(rows, column, bits)
-        number = _number(F.col(column), skip)  # the same expression each time, evaluated once a row
-        at = sum(((F.lit(c) < number).cast("int") for c in cuts), F.lit(0))
-        return F.when(F.col(column).isNull(), 0).otherwise(at + 1)
+        if not cuts:
+            return F.when(F.col(column).isNull(), 0).otherwise(1)
+        number = _number(F.col(column), skip)  # the same expression each time and outside any branch: evaluated once a row
+        return F.coalesce(sum(((F.lit(c) < number).cast("int") for c in cuts), F.lit(1)), F.lit(0))
 
     # about three buckets for each doubling of the size
     size = F.least(F.lit(top), F.floor(F.log2(F.col("size").cast("double")) * 1.25).cast("int"))
