@@ -40,11 +40,13 @@ def _(spark, sf):
 
 
 def greedy_sql(cols: str, radius: int, where: str = "TRUE", same: str = "TRUE", free: str = "FALSE") -> str:
-    """The greedy pass, a point a step of the recursion; kept: ranks of the points kept so far."""
+    """The greedy pass in rounds: a point is kept (1) once all points above it are out, and out (2) once one of them is kept."""
     return f"""WITH RECURSIVE rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS i FROM (SELECT *, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS class FROM {POINT}) WHERE {where}),
-    up AS (SELECT b.i, {free.replace("id", "b.id")} AS free, coalesce(list(a.i) FILTER (WHERE a.i IS NOT NULL), []) AS above FROM rk b LEFT JOIN rk a ON a.i < b.i AND {same} AND abs(a.x - b.x) <= {radius} AND abs(a.y - b.y) <= {radius} AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {radius * radius} GROUP BY b.i, b.id),
-    run(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT up.i, CASE WHEN NOT up.free AND list_has_any(run.kept, up.above) THEN run.kept ELSE list_append(run.kept, up.i) END FROM run JOIN up ON up.i = run.i + 1)
-    SELECT {cols} FROM rk WHERE i IN (SELECT unnest(kept) FROM run WHERE run.i = (SELECT max(i) FROM rk))"""
+    nb AS (SELECT a.i AS lo, b.i AS hi FROM rk a JOIN rk b ON a.i < b.i AND {same} AND NOT ({free.replace("id", "b.id")}) AND abs(a.x - b.x) <= {radius} AND abs(a.y - b.y) <= {radius} AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {radius * radius}),
+    run(round, i, state) AS (SELECT 0, i, 0 FROM rk UNION ALL
+      SELECT any_value(r.round) + 1, r.i, CASE WHEN any_value(r.state) <> 0 THEN any_value(r.state) WHEN count(*) FILTER (WHERE a.state = 1) > 0 THEN 2 WHEN count(*) FILTER (WHERE a.state = 0) = 0 THEN 1 ELSE 0 END
+      FROM run r LEFT JOIN nb ON nb.hi = r.i LEFT JOIN run a ON a.i = nb.lo WHERE EXISTS (SELECT 1 FROM run o WHERE o.state = 0) GROUP BY r.i)
+    SELECT {cols} FROM rk WHERE i IN (SELECT run.i FROM run WHERE run.state = 1 AND run.round = (SELECT max(round) FROM run))"""
 
 
 @query("f03_greedy_nms", greedy_sql("id, x, y, score", 200))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a session without one (a test) gets its own."""
+    """The folder named in ``spark.checkpoint.dir``; a local session without one (a test) gets its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="waygraph-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
