@@ -177,11 +177,11 @@ def shared(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
     """Distinct (doc_id, tkey) of ``docs`` (doc_id, tkey, text) that share ``size`` words in a row with another document."""
     node = F.xxhash64("doc_id", "tkey")
     two = F.min("node") != F.max("node")  # held by two documents at least
-    marked = stored(anchored(docs, size), "passage-anchors")
+    marked = anchored(docs, size)  # made twice rather than stored: many rows, few of them shared
     # stored by itself, so that the join's own shuffle can be split where a gram is frequent
     grams = stored(marked.withColumn("node", node).groupBy("gram").agg(two.alias("two")).where("two").select("gram"), "passage-grams")
     met = stored(marked.join(grams, "gram", "left_semi").withColumn("node", node), "passage-shared")
-    discard(marked, grams)
+    discard(grams)
     swept(docs.sparkSession)
     # equal runs: whether two documents hold them, and one run that stands for all
     rep = F.min(F.struct("doc_id", "tkey", "lo", "hi")).alias("rep")
