@@ -93,7 +93,8 @@ def canvas(segments: DataFrame, size: int, points: int = 10) -> DataFrame:
 
 def weighted_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` draws with replacement (draw, id), in proportion to w: each draw takes the row of least -ln(u) / w."""
-    u = (F.pmod(F.xxhash64("id", "draw", F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    digest = F.md5(F.concat_ws(":", "id", "draw", F.lit(seed)).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 1) / F.lit(float((1 << 52) + 1))
     each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("key", -F.ln(u) / F.col("w"))
     return each.groupBy("draw").agg(F.min_by("id", F.struct("key", "id")).alias("id"))
 

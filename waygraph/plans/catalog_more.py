@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waygraph.functions import geo
 from waygraph.operators import evaluate as ev
-from waygraph.operators import fuse, graph, labels, merge, nms, patches, spatial, tiles
+from waygraph.operators import fuse, graph, labels, merge, nms, patches, skeleton, spatial, tiles
 from waygraph.plans import fixtures as fx
 from waygraph.plans.catalog import QUERIES, m, micro, query
 from waygraph.plans.storage import shared_dir, stored
@@ -39,6 +39,25 @@ def _(spark, sf):
     return fx.pixels(spark, sf).where("v > 200").selectExpr("tile", "c AS x", "r AS y", "v AS score", "patch")
 
 
+#: Bands across images of 64 x 48 pixels, rough at their edges.
+BANDS = "o_orderkey {div} 3072 AS tile, o_orderkey % 48 AS x, (o_orderkey {div} 48) % 64 AS y, abs((o_orderkey {div} 48 + o_orderkey) % 24 - 12) * 20 + o_custkey % 64 AS v"
+#: Zhang and Suen's rounds on (tile, x, y); 128 of them suffice for 48 columns. p1 to p8: neighbours, clockwise from above.
+THIN = f"""WITH RECURSIVE px AS (SELECT tile, x, y, max(v) AS v FROM (SELECT {BANDS.format(div="//")} FROM orders) WHERE v > 120 GROUP BY ALL),
+    hop(tile, x, y, a, b, n) AS (SELECT tile, x, y, x, y, 0 FROM px UNION SELECT h.tile, h.x, h.y, p.x, p.y, h.n + 1 FROM hop h JOIN px p ON p.tile = h.tile AND abs(p.x - h.a) + abs(p.y - h.b) = 1 WHERE h.n < 5),
+    big AS (SELECT tile, x, y FROM hop GROUP BY ALL HAVING count(DISTINCT (a, b)) >= 6),
+    run(k, tile, x, y) AS (SELECT 0, tile, x, y FROM big UNION ALL
+      SELECT k + 1, tile, x, y FROM (SELECT r.k, r.tile, r.x, r.y, {", ".join(f"CAST(count(*) FILTER (WHERE a.x - r.x = {dx} AND a.y - r.y = {dy}) AS INTEGER) AS p{i}" for i, (dx, dy) in enumerate(((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)), 1))}
+        FROM run r LEFT JOIN run a ON a.tile = r.tile AND a.x BETWEEN r.x - 1 AND r.x + 1 AND a.y BETWEEN r.y - 1 AND r.y + 1 WHERE r.k < 128 GROUP BY ALL)
+      WHERE NOT (p1 + p2 + p3 + p4 + p5 + p6 + p7 + p8 BETWEEN 2 AND 6 AND {" + ".join(f"(1 - p{i}) * p{i % 8 + 1}" for i in range(1, 9))} = 1
+        AND CASE WHEN k % 2 = 0 THEN p1 * p3 * p5 + p3 * p5 * p7 ELSE p1 * p3 * p7 + p1 * p5 * p7 END = 0))
+    SELECT tile, x, y, CAST(v AS DOUBLE) AS score FROM run JOIN px USING (tile, x, y) WHERE k = 128"""
+
+
+@query("f02_centre_points", THIN)
+def _(spark, sf):
+    return skeleton.centre_points(T(spark, sf, "orders").selectExpr(*BANDS.format(div="div").split(", ")), 120, 6)
+
+
 def greedy_sql(cols: str, radius: int, where: str = "TRUE", same: str = "TRUE", free: str = "FALSE") -> str:
     """The greedy pass in rounds: a point is kept (1) once all points above it are out, and out (2) once one of them is kept."""
     return f"""WITH RECURSIVE rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS i FROM (SELECT *, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS class FROM {POINT}) WHERE {where}),
@@ -60,6 +79,17 @@ def _(spark, sf):
     return nms.suppress(p, 200, exempt="always").select("id", "x", "y", "score")
 
 
+@query("f21_centre_proposals", THIN.replace("SELECT tile, x, y, CAST(v AS DOUBLE) AS score FROM run JOIN px USING (tile, x, y) WHERE k = 128", """, pt AS (SELECT tile, x, y, v AS score, y * 48 + x AS id FROM run JOIN px USING (tile, x, y) WHERE k = 128),
+    nb AS (SELECT a.tile, a.id AS lo, b.id AS hi FROM pt a JOIN pt b ON a.tile = b.tile AND (a.score > b.score OR a.score = b.score AND a.id < b.id) AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 25),
+    pass(round, tile, id, state) AS (SELECT 0, tile, id, 0 FROM pt UNION ALL
+      SELECT any_value(r.round) + 1, r.tile, r.id, CASE WHEN any_value(r.state) <> 0 THEN any_value(r.state) WHEN count(*) FILTER (WHERE a.state = 1) > 0 THEN 2 WHEN count(*) FILTER (WHERE a.state = 0) = 0 THEN 1 ELSE 0 END
+      FROM pass r LEFT JOIN nb ON nb.tile = r.tile AND nb.hi = r.id LEFT JOIN pass a ON a.tile = nb.tile AND a.id = nb.lo WHERE EXISTS (SELECT 1 FROM pass o WHERE o.state = 0) GROUP BY r.tile, r.id)
+    SELECT tile, x, y, CAST(score AS DOUBLE) AS score FROM pt JOIN pass USING (tile, id) WHERE state = 1 AND round = (SELECT max(round) FROM pass)"""))
+def _(spark, sf):
+    line = skeleton.centre_points(T(spark, sf, "orders").selectExpr(*BANDS.format(div="div").split(", ")), 120, 6)
+    return nms.suppress(line.withColumn("id", F.col("y") * 48 + F.col("x")), 5, by=["tile"]).select("tile", "x", "y", "score")
+
+
 @query("f21_class_proposals", greedy_sql("class, id, x, y, score", 150, "score > 100", "a.class = b.class"))
 def _(spark, sf):
     p = points(spark, sf).withColumn("class", F.when(F.col("id") % 3 == 0, 1).otherwise(0)).where("score > 100")
@@ -504,7 +534,9 @@ def _(spark, sf):
     return graph.hops(e.select("u", "v"), start, 2, stop)
 
 
-@query("g09_bridges")
+@query("g09_bridges", """WITH RECURSIVE e AS (SELECT tile, u, v FROM fx_edge WHERE s >= 600), two AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+    walk(u, v, n) AS (SELECT u, v, u FROM e UNION SELECT w.u, w.v, t.v FROM walk w JOIN two t ON t.u = w.n WHERE NOT (least(t.u, t.v) = w.u AND greatest(t.u, t.v) = w.v))
+    SELECT tile AS graph_id, u, v FROM e WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.u = e.u AND w.v = e.v AND w.n = e.v)""")
 def _(spark, sf):
     return tiles.bridge_edges(fx.edges(spark, sf).where("s >= 600").select(F.col("tile").alias("graph_id"), "u", "v"))
 
@@ -567,7 +599,12 @@ def _(spark, sf):
     return fx.predictions(spark, sf).groupBy(F.col("z").alias("class")).agg(F.rint(loss * 1e4).cast("long").alias("loss"))
 
 
-@query("g20_spread_points")
+@query("g20_spread_points", """WITH RECURSIVE p AS (SELECT (x // 1700) * 10 + y // 1700 AS g, nid AS id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM fx_node),
+    c AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY id) - 1 AS i, (x - avg(x) OVER w) ** 2 + (y - avg(y) OVER w) ** 2 AS off FROM p WINDOW w AS (PARTITION BY g)),
+    run(step, g, id, x, y, room, place) AS (SELECT 0, g, id, x, y, CAST('Infinity' AS DOUBLE), CASE WHEN row_number() OVER (PARTITION BY g ORDER BY off, id) = 1 THEN 0 END FROM c WHERE n > 5 UNION ALL
+      SELECT step + 1, g, id, x, y, room, CASE WHEN place IS NOT NULL THEN place WHEN row_number() OVER (PARTITION BY g ORDER BY place IS NOT NULL, room DESC, id) = 1 THEN step + 1 END
+      FROM (SELECT r.step, r.g, r.id, r.x, r.y, r.place, least(r.room, (r.x - o.x) ** 2 + (r.y - o.y) ** 2) AS room FROM run r JOIN run o ON o.g = r.g AND o.place = o.step WHERE r.step < 4))
+    SELECT g AS graph_id, CAST(place AS INTEGER) AS place, id FROM run WHERE step = 4 AND place IS NOT NULL UNION ALL SELECT g, CAST(i AS INTEGER), id FROM c WHERE n <= 5""")
 def _(spark, sf):
     n, e = _ring_graphs(spark, sf)
     return tiles.spread_rows(n, e, 5)
@@ -668,7 +705,18 @@ def _(spark, sf):
     return tiles.control_rows(n, e, 100.0, 8)
 
 
-@query("g28_hausdorff")
+#: Cells of the table of two polylines (i: a line's vertices, j: its even ones), then the discrete Frechet distance by diagonals: a diagonal and the one before are carried.
+LINES = """WITH RECURSIVE pt AS (SELECT line, row_number() OVER (PARTITION BY line ORDER BY seq) - 1 AS i, x, y FROM fx_polyline),
+    cell AS (SELECT a.line, a.i, b.i // 2 AS j, sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) AS d FROM pt a JOIN pt b ON a.line = b.line AND b.i % 2 = 0),
+    run(line, i, j, f) AS (SELECT line, i, j, d FROM cell WHERE i = 0 AND j = 0 UNION ALL
+      (SELECT c.line, c.i, c.j, greatest(min(r.f), any_value(c.d)) FROM (SELECT *, max(i + j) OVER () AS s FROM run) r JOIN cell c ON c.line = r.line AND c.i - r.i BETWEEN 0 AND 1 AND c.j - r.j BETWEEN 0 AND 1 AND c.i + c.j = r.s + 1 AND (r.i + r.j = r.s OR c.i + c.j - r.i - r.j = 2) GROUP BY c.line, c.i, c.j
+       UNION ALL SELECT r.line, r.i, r.j, r.f FROM (SELECT *, max(i + j) OVER () AS s FROM run) r JOIN cell c ON c.line = r.line AND c.i = r.i + 1 AND c.j = r.j + 1 WHERE r.i + r.j = r.s)),
+    ends AS (SELECT line, max(i) AS i, max(j) AS j FROM cell GROUP BY line),
+    far AS (SELECT line, max(d) AS h FROM (SELECT line, min(d) AS d FROM cell GROUP BY line, i UNION ALL SELECT line, min(d) FROM cell GROUP BY line, j) GROUP BY line)
+    SELECT DISTINCT line, h AS hausdorff, f AS frechet FROM run JOIN ends USING (line, i, j) JOIN far USING (line)"""
+
+
+@query("g28_hausdorff", LINES)
 def _(spark, sf):
     return tiles.line_distances(fx.polylines(spark, sf))
 
@@ -739,7 +787,7 @@ def _(spark, sf):
     return T(spark, sf, "orders").select("o_orderkey").orderBy(F.col("o_orderkey") * 48271 % 2147483647, "o_orderkey").limit(100)
 
 
-@query("t07_weighted_sample")
+@query("t07_weighted_sample", "SELECT draw, arg_min(id, (-ln(u) / w, id)) AS id FROM (SELECT draw, c_custkey AS id, 1 + c_nationkey AS w, (CAST('0x' || substr(md5(c_custkey || ':' || draw || ':42'), 1, 13) AS BIGINT) + 1) / 4503599627370497.0::DOUBLE AS u FROM customer, (SELECT CAST(unnest(range(200)) AS INTEGER) AS draw)) GROUP BY draw")
 def _(spark, sf):
     return tiles.weighted_sample(T(spark, sf, "customer").selectExpr("c_custkey AS id", "1 + c_nationkey AS w"), 200, 42)
 
