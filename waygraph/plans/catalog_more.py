@@ -21,7 +21,7 @@ T = fx.table
 
 def points(spark, sf):
     """id, x, y, score over part: places without the doubled ones."""
-    return T(spark, sf, "part").selectExpr("p_partkey AS id", "(p_partkey * 7919) % 10007 AS x", "(p_partkey * 104729 + p_size * 37) % 10007 AS y", "(p_partkey * 31) % 1009 AS score")
+    return fx.places(spark, sf).selectExpr("k AS id", "x", "y", "(k * 31) % 1009 AS score")
 
 
 POINT = "(SELECT k AS id, x, y, (k * 31) % 1009 AS score FROM fx_place)"
@@ -224,10 +224,10 @@ def _(spark, sf):
 
 
 def _supplier_points(spark, sf):
-    return T(spark, sf, "supplier").selectExpr("s_suppkey AS b", "(s_suppkey * 5003) % 10007 AS bx", "(s_suppkey * 7001) % 10007 AS by_")
+    return T(spark, sf, "supplier").selectExpr("s_suppkey AS b", "(s_suppkey * 5003) % 10007 + (s_suppkey - 1) div 1000 * 10008 AS bx", "(s_suppkey * 7001) % 10007 AS by_")
 
 
-SUPPLIER = "(SELECT s_suppkey AS b, (s_suppkey * 5003) % 10007 AS bx, (s_suppkey * 7001) % 10007 AS by_ FROM supplier)"
+SUPPLIER = "(SELECT s_suppkey AS b, (s_suppkey * 5003) % 10007 + (s_suppkey - 1) // 1000 * 10008 AS bx, (s_suppkey * 7001) % 10007 AS by_ FROM supplier)"
 NODE_A = "(SELECT nid AS a, x AS ax, y AS ay FROM fx_node)"
 AB2 = "(ax - bx) * (ax - bx) + (ay - by_) * (ay - by_)"
 

@@ -14,12 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, x, y from part: 20,000 places to four tiles, then the next four tiles, so that density does not grow with the table."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "(p_partkey * 7919) % 10007 + (p_partkey - 1) div 20000 * 10008 AS x", "(p_partkey * 104729 + p_size * 37) % 10007 AS y")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nid, tile, x, y: places from part; those near a tile's edge are seen twice."""
-    base = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "(p_partkey * 7919) % 10007 AS x", "(p_partkey * 104729 + p_size * 37) % 10007 AS y")
+    base = places(spark, sf_dir)
     own = base.selectExpr("k", "x div 2502 AS tile", "x", "y")
-    again = base.where("x % 2502 >= 2482 AND x < 7506").selectExpr("k", "x div 2502 + 1 AS tile", "x + 3 AS x", "y - 2 AS y")
-    return own.unionByName(again).selectExpr("k * 10 + tile AS nid", "tile", "x", "y")
+    again = base.where("x % 2502 >= 2482 AND x % 10008 < 7506").selectExpr("k", "x div 2502 + 1 AS tile", "x + 3 AS x", "y - 2 AS y")
+    return own.unionByName(again).selectExpr("k * 10 + tile % 4 AS nid", "tile", "x", "y")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +74,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same relations as SQL; a query names those it needs.
 SQL = {
-    "fx_place": "SELECT p_partkey AS k, (p_partkey * 7919) % 10007 AS x, (p_partkey * 104729 + p_size * 37) % 10007 AS y FROM part",
-    "fx_node": "SELECT k * 10 + tile AS nid, tile, x, y FROM (SELECT k, x // 2502 AS tile, x, y FROM fx_place UNION ALL SELECT k, x // 2502 + 1, x + 3, y - 2 FROM fx_place WHERE x % 2502 >= 2482 AND x < 7506)",
+    "fx_place": "SELECT p_partkey AS k, (p_partkey * 7919) % 10007 + (p_partkey - 1) // 20000 * 10008 AS x, (p_partkey * 104729 + p_size * 37) % 10007 AS y FROM part",
+    "fx_node": "SELECT k * 10 + tile % 4 AS nid, tile, x, y FROM (SELECT k, x // 2502 AS tile, x, y FROM fx_place UNION ALL SELECT k, x // 2502 + 1, x + 3, y - 2 FROM fx_place WHERE x % 2502 >= 2482 AND x % 10008 < 7506)",
     "fx_edge": "SELECT a.tile, a.nid AS u, b.nid AS v, (a.nid * 31 + b.nid * 17) % 1001 AS s, CAST((a.nid + b.nid) % 5 = 0 AS INTEGER) AS t FROM fx_node a JOIN fx_node b ON a.tile = b.tile AND a.nid < b.nid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 62500",
     "fx_observation": "SELECT * FROM (SELECT l_linenumber AS patch, least(l_suppkey, l_partkey % 100) AS u, greatest(l_suppkey, l_partkey % 100) AS v, CAST(round(l_extendedprice * 100) AS BIGINT) % 1001 AS s, CAST(l_returnflag = 'R' AS INTEGER) AS mix FROM lineitem) WHERE u <> v",
     "fx_manifest": "SELECT n_nationkey AS k, printf('tile_%05d', n_nationkey) AS tile_id, n_name || '.png' AS image_path, CAST(n_nationkey % 5 AS DOUBLE) AS minx, CAST(n_nationkey // 5 AS DOUBLE) AS miny, CAST(n_nationkey % 5 + 1 AS DOUBLE) AS maxx, CAST(n_nationkey // 5 + 1 AS DOUBLE) AS maxy FROM nation",
