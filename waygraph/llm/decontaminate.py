@@ -1,12 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-One scan of the documents finds every benchmark n-gram and cuts the window around it that
-an aligned copy would fill. How often each n-gram occurs in the whole corpus then says
-which are rare: those under ``RARE_SHARE`` of the documents. Windows with a rare seed are
-aligned, and so is each other window that has enough of the item's words to be a copy (an
-item that leaked into very many documents has no rare n-gram); a text that many windows
-share is aligned once a batch. A copy is one whose score reaches ``SIMILARITY`` of the
-item's score against itself.
+A first scan counts in how many documents of the whole corpus each benchmark n-gram occurs;
+the rare ones, in at most ``RARE_SHARE`` of the documents, are seeds. A second scan cuts the
+window around an n-gram that an aligned copy would fill. Windows with a seed are aligned,
+and so is each other window that has enough of the item's words to be a copy (an item that
+leaked into very many documents has no rare n-gram), where they are found: no text is
+written or shuffled. A text that many windows of a chunk share is aligned once. A copy is
+one whose score reaches ``SIMILARITY`` of the item's score against itself.
 
 The items' n-grams go to the workers in passes of at most ``PASS`` n-grams.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import free, only, stored
+from waygraph.llm.common import free, only
 
 WORD = re.compile(r"\w+")
 GRAM = 3
@@ -35,6 +35,8 @@ SIMILARITY = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
 PASS = 500_000
 BATCH_CELLS = 1 << 18
+#: Different windows that are gathered before they are aligned.
+CHUNK = 4096
 
 
 def words(text: str | None) -> list[str]:
@@ -65,12 +67,17 @@ class Seeds:
                 if len(g) < n:
                     self.short[len(g)].add(g)
 
-    def windows(self, w: list[str]) -> Iterator[tuple[int, int, int, list[int]]]:
-        """(item, first word, end word, n-gram numbers), windows of an item merged."""
+    def hits(self, w: list[str]) -> list[tuple[int, tuple[str, ...]]]:
+        """(place, n-gram) of the items' n-grams in a text."""
         known = self.at
-        hits = [(p, g) for p, g in enumerate(zip(*(w[i:] for i in range(self.n)), strict=False)) if g in known]
+        found = [(p, g) for p, g in enumerate(zip(*(w[i:] for i in range(self.n)), strict=False)) if g in known]
         for size, some in self.short.items():
-            hits += [(p, g) for p, g in enumerate(zip(*(w[i:] for i in range(size)), strict=False)) if g in some]
+            found += [(p, g) for p, g in enumerate(zip(*(w[i:] for i in range(size)), strict=False)) if g in some]
+        return found
+
+    def windows(self, w: list[str]) -> Iterator[tuple[int, int, int, list[int]]]:
+        """(item, first word, end word, n-gram numbers), windows of an item merged."""
+        hits, known = self.hits(w), self.at
         if not hits:
             return
         by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -114,67 +121,67 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return best
 
 
-FOUND = "doc_id long, tkey long, item int, grams array<int>, window string"
 SCORED = "doc_id long, tkey long, item_id long, sw_score long, similarity double"
 
 
-def _scan(docs: DataFrame, shared) -> DataFrame:
+def rare_grams(docs: DataFrame, shared, documents: int) -> set[int]:
+    """Numbers of the pass's rare n-grams, by the documents of the whole corpus that hold them."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value
+        number, n = shared.value.number, Counter()
         for batch in batches:
-            out = []
-            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                w = words(text)
-                out += [(doc, key, item, g, " ".join(w[a:b])) for item, a, b, g in seeds.windows(w)]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "tkey", "item", "grams", "window"])
+            for text in batch.column("text"):
+                n.update({number[g] for _, g in shared.value.hits(words(text.as_py()))})
+        # at most PASS rows a task
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["g", "n"])
 
-    return docs.mapInArrow(run, FOUND)
+    limit = max(RARE_LEAST, int(RARE_SHARE * documents))
+    counts = docs.select("text").mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return {r["g"] for r in counts.where(F.col("n") <= limit).collect()}  # at most PASS rows
 
 
-def _score(found: DataFrame, shared, rare, similarity: float) -> DataFrame:
-    def run(batches):
+def _score(docs: DataFrame, shared, rare, similarity: float) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, good = shared.value, rare.value
         number: dict[str, int] = {}
         own = [np.array([number.setdefault(x, len(number)) for x in w], np.int64) for _, w in seeds.items]
         bags = [Counter(w) for _, w in seeds.items]
 
-        def enough(item: int, window: str) -> bool:
+        def enough(item: int, window: tuple[str, ...]) -> bool:
             """Could the words that both have reach the similarity, if all were aligned?"""
-            return (Counter(window.split(" ")) & bags[item]).total() >= similarity * len(own[item]) - 1e-9
+            return (Counter(window) & bags[item]).total() >= similarity * len(own[item]) - 1e-9
 
-        for batch in batches:
-            same: dict[tuple[int, str], list] = defaultdict(list)
-            seeded = set()
-            for doc, key, item, found_grams, window in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                same[item, window].append((doc, key))
-                if any(g in good for g in found_grams):
-                    seeded.add((item, window))
-            rows = sorted((k for k in same if k in seeded or enough(*k)), key=lambda k: (len(own[k[0]]), len(k[1])))
-            at = 0
-            out = []
+        def aligned(same: dict[tuple[int, tuple[str, ...]], list]) -> pa.RecordBatch:
+            rows = sorted(same, key=lambda k: (len(own[k[0]]), len(k[1])))
+            at, out = 0, []
             while at < len(rows):
-                width = max(len(own[rows[at][0]]), len(rows[at][1]) // 2 + 1)
+                width = max(len(own[rows[at][0]]), len(rows[at][1]))
                 some = rows[at : at + max(1, BATCH_CELLS // width)]
                 at += len(some)
-                best = align([(own[item], np.array([number.get(x, -3) for x in window.split(" ")], np.int64)) for item, window in some])
+                best = align([(own[item], np.array([number.get(x, -3) for x in window], np.int64)) for item, window in some])
                 for (item, window), s in zip(some, best.tolist(), strict=True):
                     share = s / (MATCH * len(own[item]))
                     if share >= similarity:
                         out += [(doc, key, seeds.items[item][0], s, share) for doc, key in same[item, window]]
             cols = list(zip(*out, strict=True)) or [[]] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "tkey", "item_id", "sw_score", "similarity"])
-
-    return found.mapInArrow(run, SCORED)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "tkey", "item_id", "sw_score", "similarity"])
 
-
-def rare_grams(found: DataFrame, documents: int) -> set[int]:
-    """Numbers of the pass's rare n-grams; counted over all windows of all documents."""
-    counts = {r["g"]: r["n"] for r in found.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}  # at most PASS rows
-    limit = max(RARE_LEAST, int(RARE_SHARE * documents))
-    return {g for g, n in counts.items() if n <= limit}
+        for batch in batches:
+            same: dict[tuple[int, tuple[str, ...]], list] = defaultdict(list)
+            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist(), batch.column("text"), strict=True):
+                w = words(text.as_py())
+                for item, a, b, found in seeds.windows(w):
+                    window = tuple(w[a:b])
+                    if (item, window) in same or not good.isdisjoint(found) or enough(item, window):
+                        same[item, window].append((doc, key))
+                if len(same) >= CHUNK:
+                    yield aligned(same)
+                    same.clear()
+            if same:
+                yield aligned(same)
+
+    return docs.mapInArrow(run, SCORED)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = GRAM, similarity: float = SIMILARITY, size: int = PASS) -> DataFrame:
@@ -194,9 +201,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = GRAM, similarit
         if not seeds.items:
             continue
         shared = spark.sparkContext.broadcast(seeds)
-        found = stored(_scan(rows, shared), "seeds")
-        rare = spark.sparkContext.broadcast(rare_grams(found, documents))
-        done = _score(found, shared, rare, similarity)
+        rare = spark.sparkContext.broadcast(rare_grams(rows, shared, documents))
+        done = _score(rows, shared, rare, similarity)
         out = done if out is None else out.unionByName(done)
     if out is None:
         return spark.createDataFrame([], SCORED)
