@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from waygraph.llm import bpe, decontaminate, secrets, simhash, toxicity
-from waygraph.plans.storage import stored
+from waygraph.llm.common import discard, stored, swept
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +45,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again as the next one's docs."""
+    """All stages over ``documents``; each result is written and read again as the next one's docs.
+
+    What a stage read goes once its result is written, and with it the stage's shuffle files.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
-            docs = stored(docs, name)
+            out = stored(out, name)
+            if at:
+                discard(docs)
+            swept(spark)
+        docs = out
     return docs
 
 

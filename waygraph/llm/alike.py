@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import only, stored
+from waygraph.llm.common import only, stored, swept
 from waygraph.operators.graph import canonical, connected_components
 
 SEED = 42
@@ -232,14 +232,23 @@ def verified(found: DataFrame, docs: DataFrame, similarity: float, width: int) -
 def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, proposed: DataFrame | None = None) -> DataFrame:
     """(node, root) of every text that is alike another one; node is ``text_key``.
 
-    ``proposed``: pairs (u, v) of nodes that are verified first.
+    ``proposed``: pairs (u, v) of nodes that are verified first. Each step that moves texts
+    or their shingles begins without the shuffle files of those before, which else add up.
     """
+    spark = docs.sparkSession
     own = only(docs, "text").select(text_key().alias("node"), "text")
+    swept(spark)
     met = meetings(own, similarity, width)
+    swept(spark)
     some = pairs(met.withColumn("root", F.col("node")), similarity, True)
     some = stored(canonical(some if proposed is None else some.unionByName(proposed)), "alike-pairs")
+    swept(spark)
     first = verified(some, own, similarity, width)
+    swept(spark)
     named = connected_components(first).select(F.col("id").alias("node"), "component")
     rest = pairs(met.join(named, "node", "left").withColumn("root", F.coalesce("component", "node")), similarity, False)
-    links = first.unionByName(verified(stored(canonical(rest), "alike-pairs"), own, similarity, width))
+    rest = stored(canonical(rest), "alike-pairs")
+    swept(spark)
+    links = first.unionByName(verified(rest, own, similarity, width))
+    swept(spark)
     return connected_components(links).select(F.col("id").alias("node"), F.col("component").alias("root"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waygraph.llm import alike
-from waygraph.llm.common import free, only, stored
+from waygraph.llm.common import free, only, stored, swept
 from waygraph.operators.graph import connected_components
 
 BITS, SEED = 64, 42
@@ -325,7 +325,8 @@ def components(docs: DataFrame, tau: int = 3, width: int = 3) -> DataFrame:
 
 def proposals(docs: DataFrame, tau: int = 3, width: int = 5) -> DataFrame:
     """(u, v): keys of texts whose fingerprints over ``width``-word shingles are linked."""
-    rows = fingerprints(docs.select(alike.text_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"]), width)
+    # copies are told apart after the fingerprint, so that no text is moved
+    rows = fingerprints(docs.select(alike.text_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), width).dropDuplicates(["doc_id"])
     nodes = stored(rows.select("fp", F.col("doc_id").alias("node")), "simhash-texts")
     parts, thresholds = choose(nodes, tau)
     probes = probe_bits(parts, thresholds)
@@ -347,7 +348,9 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
     kept = named.groupBy("root").agg(first).select(F.col("first.doc_id").alias(doc), F.col("first.node").alias(key))
     same = (alike.text_key() == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc))
-    one = docs.withColumn(own, alike.text_key()).join(stored(kept, "near-kept"), same, "left_semi").dropDuplicates([own])
+    kept = stored(kept, "near-kept")
+    swept(docs.sparkSession)
+    one = docs.withColumn(own, alike.text_key()).join(kept, same, "left_semi").dropDuplicates([own])
     return one.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
