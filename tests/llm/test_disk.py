@@ -2,7 +2,9 @@
 
 import os
 
-from waygraph.llm import simhash
+import numpy as np
+
+from waygraph.llm import alike, simhash
 
 
 def test_pipeline_drops_what_a_stage_has_read(spark, tmp_path, monkeypatch):
@@ -27,3 +29,26 @@ def test_proposals_move_no_text(spark):
         simhash.stored = real
     plan = dict(seen)["simhash-texts"]
     assert "Exchange" in plan and plan.index("Exchange") < plan.index("MapInArrow")  # the fingerprints are dealt, not the texts
+
+
+def test_a_sketch_never_rules_out_what_is_shared():
+    rng = np.random.default_rng(7)
+    pool = rng.integers(0, 2**63, 40000, dtype=np.uint64)
+    for n, m, both in [(0, 0, 0), (1, 1, 1), (3, 900, 3), (400, 380, 350), (400, 380, 0), (5000, 6000, 4900), (20000, 20000, 0)]:
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate((pool[:both], pool[n : n + m - both])))
+        assert alike.at_most(alike.sketch(a), alike.sketch(b)) >= len(np.intersect1d(a, b))
+    unlike = alike.at_most(alike.sketch(pool[:2000]), alike.sketch(pool[2000:4000]))
+    assert unlike < 0.8 / 1.8 * 4000  # such a pair's texts are not moved
+    assert alike.sketch(np.arange(300, dtype=np.uint64) << np.uint64(20)) == b"" and alike.at_most(b"", alike.sketch(pool[:9])) > 9
+
+
+def test_unlike_texts_that_share_a_shingle_are_not_moved(spark, monkeypatch):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    texts = [words(k, 80) + " aa bb cc dd ee" for k in range(12)] + [words(99, 200), words(99, 195) + " and some more words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    moved, real = [], alike.verified
+    monkeypatch.setattr(alike, "verified", lambda found, *a: (moved.append(found.count()), real(found, *a))[1])
+    own = docs.select(alike.text_key().alias("node"), "text")
+    ends = own.selectExpr("min(node) AS u").crossJoin(own.selectExpr("node AS v")).where("u <> v")
+    assert alike.groups(docs, proposed=ends).count() == 2
+    assert sum(moved) <= 2

@@ -5,7 +5,8 @@ ones last; two sets of similarity t share a shingle among the first n - ceil(t n
 each (prefix filter), so texts that share none there are never compared and no true pair
 is missed. Sizes and places in the order rule out further pairs; what is left is decided
 on the texts' own shingles. How frequent a shingle is comes from a sample: that changes
-the cost, not the result.
+the cost, not the result. Before texts are moved, counts of their shingles in buckets
+(``sketch``) rule out most pairs: the lesser counts' sum is no less than what two sets share.
 
 A large group of like texts would give all its pairs, so two steps: first the pairs that
 another search proposes (SimHash) and a chain and a star in each group of texts that share
@@ -29,8 +30,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import only, stored, swept
+from waygraph.llm.common import discard, only, stored, swept
 from waygraph.operators.graph import canonical, connected_components
+from waygraph.plans.storage import dealt
 
 SEED = 42
 #: One text in so many tells which shingles are frequent; at most so many are, from so many texts on.
@@ -102,19 +104,46 @@ def prefix(h: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity: floa
     return h[np.lexsort((h, often))][: len(h) - ceil(similarity * len(h) - EPS) + 1]
 
 
-def meetings(docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(token, node, size, pos): each text's prefix, where another text has the token too."""
+def sketch(h: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of 2^k buckets, two to four on average; none where a count is too large for a byte."""
+    size = 1 << (max(len(h), 16) // 4).bit_length()
+    n = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+def at_most(a: bytes, b: bytes) -> float:
+    """So many elements, at most, that the sets of two sketches share."""
+    if not a or not b:
+        return float("inf")
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
+
+
+def prefixes(docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(node, size, first, sketch) of each text: its shingles' number, prefix and sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
 
     def cut(batches):
         known = shared.value
         for batch in batches:
-            sizes, firsts = [], []
+            sizes, firsts, sketches = [], [], []
             for text in batch.column("text"):
                 h = hashes(text.as_py(), width)
                 sizes.append(len(h))
                 firsts.append((prefix(h, known, similarity) if len(h) else np.zeros(1, np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], names=["node", "size", "first"])
+                sketches.append(sketch(h))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(sketches, pa.binary())], names=["node", "size", "first", "sketch"])
+
+    form = "node long, size int, first binary, sketch binary"
+    return stored(docs.select("node", "text").mapInArrow(cut, form).dropDuplicates(["node"]), "alike-prefixes")
+
+
+def meetings(once: DataFrame) -> DataFrame:
+    """(token, node, size, pos): each text's prefix, where another text has the token too."""
 
     def spread(batches):
         for batch in batches:
@@ -142,8 +171,7 @@ def meetings(docs: DataFrame, similarity: float, width: int) -> DataFrame:
             yield last
 
     form = "token long, node long, size int, pos int"
-    once = docs.select("node", "text").mapInArrow(cut, "node long, size int, first binary").dropDuplicates(["node"])
-    rows = once.mapInArrow(spread, form).repartition("token").sortWithinPartitions("token")
+    rows = once.select("node", "size", "first").mapInArrow(spread, form).repartition("token").sortWithinPartitions("token")
     return stored(rows.mapInArrow(shared_only, form), "alike-meet")
 
 
@@ -208,6 +236,21 @@ def pairs(met: DataFrame, similarity: float, few: bool, group: int | None = None
     return dealt.repartition("key").sortWithinPartitions("key", "node" if few else "size").mapInArrow(run, "u long, v long")
 
 
+def likely(found: DataFrame, once: DataFrame, similarity: float) -> DataFrame:
+    """The pairs without those whose sketches rule out that they are as similar; no similar pair goes."""
+    a = once.select(F.col("node").alias("u"), F.col("size").alias("nu"), F.col("sketch").alias("su"))
+    b = once.select(F.col("node").alias("v"), F.col("size").alias("nv"), F.col("sketch").alias("sv"))
+
+    def run(batches):
+        for batch in batches:
+            n = (batch.column("nu").to_numpy().astype(np.int64) + batch.column("nv").to_numpy()) * (similarity / (1 + similarity)) - EPS
+            most = [at_most(x.as_py(), y.as_py()) for x, y in zip(batch.column("su"), batch.column("sv"), strict=True)]
+            good = pa.array(np.array(most, float) >= n)
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(good), batch.column("v").filter(good)], names=["u", "v"])
+
+    return stored(found.join(dealt(b), "v").join(dealt(a), "u").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long"), "alike-likely")
+
+
 def verified(found: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
     """Those of the pairs whose texts' shingle sets are as similar."""
     ends = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct()
@@ -238,10 +281,13 @@ def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, proposed: D
     spark = docs.sparkSession
     own = only(docs, "text").select(text_key().alias("node"), "text")
     swept(spark)
-    met = meetings(own, similarity, width)
+    once = prefixes(own, similarity, width)
+    swept(spark)
+    met = meetings(once)
     swept(spark)
     some = pairs(met.withColumn("root", F.col("node")), similarity, True)
     some = stored(canonical(some if proposed is None else some.unionByName(proposed)), "alike-pairs")
+    some = likely(some, once, similarity)
     swept(spark)
     first = verified(some, own, similarity, width)
     swept(spark)
@@ -249,6 +295,9 @@ def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, proposed: D
     rest = pairs(met.join(named, "node", "left").withColumn("root", F.coalesce("component", "node")), similarity, False)
     rest = stored(canonical(rest), "alike-pairs")
     swept(spark)
+    rest = likely(rest, once, similarity)
+    swept(spark)
     links = first.unionByName(verified(rest, own, similarity, width))
+    discard(once, met)
     swept(spark)
     return connected_components(links).select(F.col("id").alias("node"), F.col("component").alias("root"))
