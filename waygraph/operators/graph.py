@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waygraph.plans.storage import stored
+from waygraph.plans.storage import dealt, stored
 
 
 def canonical(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -31,10 +31,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         # large star: every greater neighbour of k points to the least of k's neighbourhood
-        large = both.join(least, F.col("u") == F.col("k")).where(F.col("v") > F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(dealt(least, 2 * last[0]), F.col("u") == F.col("k")).where(F.col("v") > F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: k and its lesser neighbours point to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(dealt(low, last[0]), F.col("u") == F.col("k")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
         now = mark(e)
         if now == last:
@@ -80,9 +80,9 @@ def hops(edges: DataFrame, start: DataFrame, depth: int, stop: DataFrame | None
     edge = start.select("source", F.col("source").alias("n")).distinct()
     seen = edge.withColumn("hop", F.lit(0))
     for d in range(1, depth + 1):  # each level is stored, and only its new nodes are gone on from
-        on = edge if stop is None else edge.join(stop, "n", "left_anti")
-        step = on.join(two, "n").select("source", F.col("v").alias("n")).distinct()
-        edge = stored(step.join(seen, ["source", "n"], "left_anti"), "hops")
+        on = edge if stop is None else edge.join(dealt(stop), "n", "left_anti")
+        step = on.join(dealt(two), "n").select("source", F.col("v").alias("n")).distinct()
+        edge = stored(step.join(dealt(seen), ["source", "n"], "left_anti"), "hops")
         seen = seen.unionByName(edge.withColumn("hop", F.lit(d)))
     return seen
 
@@ -90,9 +90,9 @@ def hops(edges: DataFrame, start: DataFrame, depth: int, stop: DataFrame | None
 def large_components(edges: DataFrame, least: int = 3) -> DataFrame:
     """Edges of components with at least ``least`` edges."""
     label = connected_components(edges).select(F.col("id").alias("u"), "component")
-    own = edges.join(label, "u")
+    own = edges.join(dealt(label), "u")
     big = own.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("component")
-    return own.join(big, "component", "left_semi").select(*edges.columns)
+    return own.join(dealt(big), "component", "left_semi").select(*edges.columns)
 
 
 def _length() -> Column:

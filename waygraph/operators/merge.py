@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from waygraph.operators.graph import connected_components, degree
 from waygraph.operators.spatial import radius_join
-from waygraph.plans.storage import stored
+from waygraph.plans.storage import dealt, stored
 
 
 def snap_clusters(nodes: DataFrame, radius, id_: str = "nid") -> DataFrame:
     """(nid, cid): nodes within the radius of one another, chains included; cid: least member."""
     found = connected_components(radius_join(nodes, radius, id_), "a", "b")
-    return nodes.select(F.col(id_).alias("nid")).join(found.withColumnRenamed("id", "nid"), "nid", "left").select("nid", F.coalesce("component", "nid").alias("cid"))
+    return nodes.select(F.col(id_).alias("nid")).join(dealt(found.withColumnRenamed("id", "nid")), "nid", "left").select("nid", F.coalesce("component", "nid").alias("cid"))
 
 
 def centers(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
     """(cid, x, y, tiles): unweighted mean of a cluster's members, and the tiles that they come from."""
-    return nodes.join(clusters, "nid").groupBy("cid").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.array_sort(F.collect_set("tile")).alias("tiles"))
+    return nodes.join(dealt(clusters), "nid").groupBy("cid").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.array_sort(F.collect_set("tile")).alias("tiles"))
 
 
 def remap(edges: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def remap(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     a = clusters.select(F.col("nid").alias("u"), F.col("cid").alias("_a"))
     b = clusters.select(F.col("nid").alias("v"), F.col("cid").alias("_b"))
     rest = [c for c in edges.columns if c not in ("u", "v")]
-    return edges.join(a, "u").join(b, "v").where("_a <> _b").select(F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v"), *rest)
+    return edges.join(dealt(a), "u").join(dealt(b), "v").where("_a <> _b").select(F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v"), *rest)
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
@@ -47,10 +47,10 @@ def votes(edges: DataFrame) -> DataFrame:
 def bridges(kept: DataFrame, center: DataFrame, snap, reach) -> DataFrame:
     """Synthetic edges across seams: near clusters that share no tile and no edge, both with edges."""
     vote = votes(kept)
-    ends = center.join(vote.withColumnRenamed("n", "cid"), "cid")
-    near = radius_join(ends, reach, "cid").where(F.col("d2") > snap * snap).select(F.col("a").alias("u"), F.col("b").alias("v")).join(kept.select("u", "v"), ["u", "v"], "left_anti")
+    ends = center.join(dealt(vote.withColumnRenamed("n", "cid")), "cid")
+    near = radius_join(ends, reach, "cid").where(F.col("d2") > snap * snap).select(F.col("a").alias("u"), F.col("b").alias("v")).join(dealt(kept.select("u", "v")), ["u", "v"], "left_anti")
     side = lambda k, p: ends.select(F.col("cid").alias(k), F.col("tiles").alias(f"{p}t"), F.col("v0").alias(f"{p}0"), F.col("v1").alias(f"{p}1"))
-    both = near.join(side("u", "a"), "u").join(side("v", "b"), "v").where(~F.arrays_overlap("at", "bt"))
+    both = near.join(dealt(side("u", "a")), "u").join(dealt(side("v", "b")), "v").where(~F.arrays_overlap("at", "bt"))
     return both.select("u", "v", F.lit(None).cast("long").alias("s"), (F.col("a1") + F.col("b1") > F.col("a0") + F.col("b0")).cast("int").alias("t"), F.lit(1).alias("synthetic"))
 
 
@@ -65,10 +65,10 @@ def global_merge(nodes: DataFrame, edges: DataFrame, snap, reach, threshold) ->
 
 def collapse_junctions(nodes: DataFrame, edges: DataFrame, radius) -> tuple[DataFrame, DataFrame]:
     """The snap once more, for nodes of degree 3 and up only; nodes (nid, x, y)."""
-    high = nodes.join(degree(edges).where("degree >= 3").select(F.col("n").alias("nid")), "nid", "left_semi")
+    high = nodes.join(dealt(degree(edges).where("degree >= 3").select(F.col("n").alias("nid"))), "nid", "left_semi")
     found = snap_clusters(high, radius)
-    clusters = stored(nodes.select("nid").join(found, "nid", "left").select("nid", F.coalesce("cid", "nid").alias("cid")), "junctions")
-    center = nodes.join(clusters, "nid").groupBy("cid").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    clusters = stored(nodes.select("nid").join(dealt(found), "nid", "left").select("nid", F.coalesce("cid", "nid").alias("cid")), "junctions")
+    center = nodes.join(dealt(clusters), "nid").groupBy("cid").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     return center, dedup_edges(remap(edges, clusters))
 
 
