@@ -8,6 +8,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries that failed by the driver's memory on tables 60 times as large as sf0.1.
 LARGE = (
     "a07_incident_votes",
+    "a17_graph_summary",
 )
 
 
