@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 LARGE = (
     "a07_incident_votes",
     "a17_graph_summary",
+    "a19_score_summary",
 )
 
 
