@@ -10,6 +10,7 @@ LARGE = (
     "a07_incident_votes",
     "a17_graph_summary",
     "a19_score_summary",
+    "f03_greedy_nms",
 )
 
 
