@@ -11,6 +11,7 @@ LARGE = (
     "a17_graph_summary",
     "a19_score_summary",
     "f03_greedy_nms",
+    "f04_training_nms",
 )
 
 
