@@ -12,6 +12,7 @@ LARGE = (
     "a19_score_summary",
     "f03_greedy_nms",
     "f04_training_nms",
+    "f12_merge_threshold",
 )
 
 
