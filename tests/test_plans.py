@@ -13,6 +13,7 @@ LARGE = (
     "f03_greedy_nms",
     "f04_training_nms",
     "f12_merge_threshold",
+    "g06_global_merge",
 )
 
 
