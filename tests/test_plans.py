@@ -14,6 +14,7 @@ LARGE = (
     "f04_training_nms",
     "f12_merge_threshold",
     "g06_global_merge",
+    "g06_global_nodes",
 )
 
 
