@@ -15,6 +15,7 @@ LARGE = (
     "f12_merge_threshold",
     "g06_global_merge",
     "g06_global_nodes",
+    "g08_hops",
 )
 
 
