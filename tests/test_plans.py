@@ -16,6 +16,7 @@ LARGE = (
     "g06_global_merge",
     "g06_global_nodes",
     "g08_hops",
+    "j10_seam_bridges",
 )
 
 
