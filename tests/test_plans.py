@@ -17,6 +17,7 @@ LARGE = (
     "g06_global_nodes",
     "g08_hops",
     "j10_seam_bridges",
+    "k03_edge_features",
 )
 
 

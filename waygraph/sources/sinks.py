@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waygraph.plans.storage import dealt
+
 
 def confidence_bin(score: Column, synthetic: Column) -> Column:
     return (
@@ -21,7 +23,7 @@ def edge_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """A GeoJSON feature, as JSON, for each edge (u, v, score, edge_type, synthetic) of nodes (id, x, y)."""
     a = nodes.select(F.col("id").alias("u"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     b = nodes.select(F.col("id").alias("v"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    both = edges.join(a, "u").join(b, "v")
+    both = edges.join(dealt(a), "u").join(dealt(b), "v")
     kind = F.when(F.col("edge_type") == 1, "crossing").otherwise("sidewalk")
     props = F.struct(F.lit("edge").alias("type"), F.col("u").alias("src"), F.col("v").alias("dst"), kind.alias("link_type"), F.when(~F.col("synthetic"), F.col("score")).alias("confidence"), confidence_bin(F.col("score"), F.col("synthetic")).alias("confidence_bin"), "synthetic")
     line = F.struct(F.lit("LineString").alias("type"), F.array(F.array("x1", "y1"), F.array("x2", "y2")).alias("coordinates"))
@@ -57,7 +59,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def graph_edges_for_json(adjacent: DataFrame) -> DataFrame:
     """One edge for each unordered pair of adjacency rows (n, m); ends that have no row of their own go."""
     known = adjacent.select("n").distinct()
-    pairs = adjacent.join(known.withColumnRenamed("n", "m"), "m", "left_semi").where("n <> m")
+    pairs = adjacent.join(dealt(known.withColumnRenamed("n", "m")), "m", "left_semi").where("n <> m")
     return pairs.select(F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v")).distinct()
 
 
