@@ -18,6 +18,7 @@ LARGE = (
     "g08_hops",
     "j10_seam_bridges",
     "k03_edge_features",
+    "t04_top_components",
 )
 
 
