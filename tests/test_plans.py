@@ -19,6 +19,7 @@ LARGE = (
     "j10_seam_bridges",
     "k03_edge_features",
     "t04_top_components",
+    "a05_cluster_centroids",
 )
 
 
