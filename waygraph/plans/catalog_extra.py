@@ -15,7 +15,7 @@ from waygraph.operators import graph, labels, learning, merge, spatial, tiles
 from waygraph.plans import fixtures as fx
 from waygraph.plans.catalog import m, micro, query
 from waygraph.plans.catalog_more import AB2, NODE_A, PATHS, SEG, SUPPLIER, _network, _node_a, _ring_graphs, _segments, _side, _supplier_points
-from waygraph.plans.storage import shared_dir
+from waygraph.plans.storage import dealt, shared_dir
 from waygraph.sources import files, images, sinks
 from waygraph.streaming import resume
 
@@ -135,7 +135,7 @@ def _(spark, sf):
     some = fx.manifest(spark, sf).where("k % 5 < 3 AND k < 15").selectExpr("k % 5 * 2001.4D AS x0", "k div 5 * 2001.4D AS y0", "k % 5 * 2001.4D + 2001.4D AS xe", "k div 5 * 2001.4D + 2001.4D AS ye")
     s = _segments(spark, sf).withColumnRenamed("id", "sid")
     c = tiles.ground_truth(s, some, 1000)
-    return c.join(s, "sid").where("cx1 = x1 AND cy1 = y1 AND cx2 = x2 AND cy2 = y2").where("greatest(x1, x2) < 6004.2D AND least(x1, x2) > 0 AND greatest(y1, y2) < 6004.2D AND least(y1, y2) > 0").select("sid")
+    return c.join(dealt(s), "sid").where("cx1 = x1 AND cy1 = y1 AND cx2 = x2 AND cy2 = y2").where("greatest(x1, x2) < 6004.2D AND least(x1, x2) > 0 AND greatest(y1, y2) < 6004.2D AND least(y1, y2) > 0").select("sid")
 
 
 @query("f20_filled_config", "SELECT k, CAST(coalesce(CASE WHEN k % 2 = 0 THEN k END, 8) AS VARCHAR) AS batch, CASE WHEN k % 3 = 0 THEN '' ELSE 'poly' END AS schedule FROM fx_manifest")
