@@ -20,6 +20,7 @@ LARGE = (
     "g31_pair_labels",
     "j10_seam_bridges",
     "k03_edge_features",
+    "k05_network_outputs",
     "t04_top_components",
     "a05_cluster_centroids",
 )
