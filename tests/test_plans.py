@@ -17,6 +17,7 @@ LARGE = (
     "g06_global_merge",
     "g06_global_nodes",
     "g08_hops",
+    "g10_chains",
     "g31_pair_labels",
     "j10_seam_bridges",
     "k03_edge_features",

@@ -7,21 +7,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waygraph.operators import routing as R
+from waygraph.plans.storage import dealt
 
 
 def keep_core(nodes: DataFrame, edges: DataFrame, core: Column) -> tuple[DataFrame, DataFrame]:
     """Nodes in the core or on an edge with one that is; edges whose ends both stay."""
     inside = nodes.where(core).select("nid")
-    a = edges.join(inside.withColumnRenamed("nid", "u"), "u", "left_semi")
-    b = edges.join(inside.withColumnRenamed("nid", "v"), "v", "left_semi")
+    a = edges.join(dealt(inside.withColumnRenamed("nid", "u")), "u", "left_semi")
+    b = edges.join(dealt(inside.withColumnRenamed("nid", "v")), "v", "left_semi")
     kept = a.select(*edges.columns).unionByName(b.select(*edges.columns)).dropDuplicates(["u", "v"])
     ends = kept.select(F.explode(F.array("u", "v")).alias("nid")).unionByName(inside).distinct()
-    return nodes.join(ends, "nid", "left_semi"), kept
+    return nodes.join(dealt(ends), "nid", "left_semi"), kept
 
 
 def drop_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("u", "v")).alias("nid")).distinct()
-    return nodes.join(ends, "nid", "left_semi")
+    return nodes.join(dealt(ends), "nid", "left_semi")
 
 
 def violations(edges: DataFrame) -> DataFrame:
