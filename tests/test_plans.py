@@ -16,6 +16,7 @@ LARGE = (
     "g05_junction_collapse",
     "g06_global_merge",
     "g06_global_nodes",
+    "g07_bounded_search",
     "g08_hops",
     "g10_chains",
     "g31_pair_labels",
