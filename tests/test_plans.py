@@ -19,6 +19,7 @@ LARGE = (
     "g07_bounded_search",
     "g08_hops",
     "g10_chains",
+    "g18_noded_pieces",
     "g31_pair_labels",
     "j10_seam_bridges",
     "k03_edge_features",
