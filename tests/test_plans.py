@@ -20,6 +20,7 @@ LARGE = (
     "g08_hops",
     "g10_chains",
     "g18_noded_pieces",
+    "g19_control_points",
     "g31_pair_labels",
     "g32_snapped_labels",
     "j10_seam_bridges",
