@@ -21,6 +21,7 @@ LARGE = (
     "g10_chains",
     "g18_noded_pieces",
     "g19_control_points",
+    "g25_apls",
     "g31_pair_labels",
     "g32_snapped_labels",
     "j10_seam_bridges",
