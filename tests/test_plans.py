@@ -24,6 +24,7 @@ LARGE = (
     "g25_apls",
     "g31_pair_labels",
     "g32_snapped_labels",
+    "j08_match_points",
     "j10_seam_bridges",
     "k03_edge_features",
     "k05_network_outputs",
