@@ -29,6 +29,7 @@ LARGE = (
     "k03_edge_features",
     "k05_network_outputs",
     "t04_top_components",
+    "j07_buffer_join",
     "a05_cluster_centroids",
 )
 
