@@ -4,7 +4,7 @@ import os
 
 import numpy as np
 
-from waygraph.llm import alike, simhash
+from waygraph.llm import alike, passages, simhash
 
 
 def test_pipeline_drops_what_a_stage_has_read(spark, tmp_path, monkeypatch):
@@ -52,3 +52,12 @@ def test_unlike_texts_that_share_a_shingle_are_not_moved(spark, monkeypatch):
     ends = own.selectExpr("min(node) AS u").crossJoin(own.selectExpr("node AS v")).where("u <> v")
     assert alike.groups(docs, proposed=ends).count() == 2
     assert sum(moved) <= 2
+
+
+def test_windows_of_passages_are_not_written(spark, monkeypatch):
+    part = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(i, i, f"a{i} {part} b{i}") for i in range(4)], "doc_id long, tkey long, text string")
+    tags, real = [], passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df, tag: (tags.append(tag), real(df, tag))[1])
+    assert passages.shared(rows).count() == 4
+    assert tags and "passage-windows" not in tags

@@ -189,10 +189,8 @@ def shared(docs: DataFrame, size: int = PASSAGE) -> DataFrame:
     done = stored(met.join(alike.where("two").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select("doc_id", "tkey").distinct(), "passage-copies")
     unsettled = met.join(done, ["doc_id", "tkey"], "left_anti").select("gram").distinct()
     loose = alike.select("gram", "rep.*").join(unsettled, "gram", "left_semi")
-    each = stored(_each_window(docs, loose, size), "passage-windows")
-    discard(met, alike)
-    swept(docs.sparkSession)
+    each = _each_window(docs, loose, size)  # made twice as well, from one shuffle of the texts
     same = each.withColumn("node", node).groupBy("gram", "window").agg(two.alias("two")).where("two").select("gram", "window")
     out = stored(done.unionByName(each.join(same, ["gram", "window"], "left_semi").select("doc_id", "tkey")).distinct(), "passages")
-    discard(each, done)
+    discard(met, alike, done)
     return out
