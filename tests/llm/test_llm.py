@@ -182,6 +182,26 @@ def test_one_of_each(spark):
     assert kept == set(range(10))
 
 
+def test_what_simhash_links_is_one_group(spark):
+    rnd = random.Random(5)
+    for _ in range(2000):  # near copies whose fingerprints meet although their 5-word shingles are not alike enough
+        w = [f"w{rnd.randint(0, 9999)}" for _ in range(300)]
+        v = list(w)
+        for at in rnd.sample(range(300), 9):
+            v[at] = "changed"
+        one, two = " ".join(w), " ".join(v)
+        if bin(simhash.fingerprint(one) ^ simhash.fingerprint(two)).count("1") <= 3 and jaccard(one, two) < 0.8:
+            break
+    else:
+        raise AssertionError("no such pair")
+    other = " ".join(f"x{rnd.randint(0, 9999)}" for _ in range(300))
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near_dedup_stage(spark, frame(spark, [one, two, other]), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+    assert survivors(spark, [one, two, other]) == [0, 1, 2]  # the set join alone keeps both
+
+
 def five(text):
     w = text.split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}

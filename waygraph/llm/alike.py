@@ -272,11 +272,11 @@ def verified(found: DataFrame, docs: DataFrame, similarity: float, width: int) -
     return stored(found.join(b, "v").join(a, "u").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long"), "alike-links")
 
 
-def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, proposed: DataFrame | None = None) -> DataFrame:
+def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, proposed: DataFrame | None = None, linked: DataFrame | None = None) -> DataFrame:
     """(node, root) of every text that is alike another one; node is ``text_key``.
 
-    ``proposed``: pairs (u, v) of nodes that are verified first. Each step that moves texts
-    or their shingles begins without the shuffle files of those before, which else add up.
+    ``proposed``: pairs (u, v) of nodes that are verified first; ``linked``: pairs that are
+    in one group as they are. Each step that moves texts or their shingles begins without the shuffle files of those before, which else add up.
     """
     spark = docs.sparkSession
     own = only(docs, "text").select(text_key().alias("node"), "text")
@@ -291,6 +291,9 @@ def groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, proposed: D
     swept(spark)
     first = verified(some, own, similarity, width)
     swept(spark)
+    if linked is not None:
+        first = first.unionByName(stored(canonical(linked), "alike-linked"))
+        swept(spark)
     named = connected_components(first).select(F.col("id").alias("node"), "component")
     rest = pairs(met.join(named, "node", "left").withColumn("root", F.coalesce("component", "node")), similarity, False)
     rest = stored(canonical(rest), "alike-pairs")

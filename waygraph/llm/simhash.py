@@ -333,18 +333,21 @@ def proposals(docs: DataFrame, tau: int = 3, width: int = 5) -> DataFrame:
     return links(probe_keys(nodes, probes), tau, probes)
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, by_fingerprint: bool = False) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of least doc_id.
 
     Texts are linked whose ``width``-word shingle sets have this Jaccard similarity. The
     SimHash probes propose most of them; as few differing bits miss copies that are cut or
-    lengthened, an exact set join (``alike``) finds the others, and decides on all. A row is
-    known by doc_id and text, so texts that share a doc_id are told apart; a group without
-    any doc_id keeps one row too.
+    lengthened, an exact set join (``alike``) finds the others, and decides on all.
+    ``by_fingerprint``: texts that ``components`` links (fingerprints of 3-word shingles, 3
+    differing bits) are in one group too, whatever the set join says. A row is known by doc_id
+    and text, so texts that share a doc_id are told apart; a group without any doc_id keeps
+    one row too.
     """
     doc, key, own = free(docs, "doc_", "key_", "own_")
+    near = {"linked": proposals(docs, width=3)} if by_fingerprint else {"proposed": proposals(docs, width=width)}
     rows = docs.select("doc_id", alike.text_key().alias("node"))
-    named = rows.join(alike.groups(docs, similarity, width, proposals(docs, width=width)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rows.join(alike.groups(docs, similarity, width, **near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
     kept = named.groupBy("root").agg(first).select(F.col("first.doc_id").alias(doc), F.col("first.node").alias(key))
     same = (alike.text_key() == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc))
