@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waygraph.operators import evaluate as ev
-from waygraph.operators import merge, nms, spatial
+from waygraph.operators import labels, merge, nms, spatial
 from waygraph.operators import routing as R
 from waygraph.operators.graph import connected_components, split_edges
 
@@ -218,3 +218,22 @@ def test_empty_merge(spark):
     center, edges = merge.global_merge(n, e, 10, 250, 600)
     assert center.count() == edges.count() == 0
     assert edges.where(F.col("synthetic") == 1).count() == 0
+
+
+def test_pair_labels_meet_in_the_middle(spark, monkeypatch):
+    rnd = random.Random(11)
+    truth = sorted({tuple(sorted(rnd.sample(range(30), 2))) for _ in range(34)})
+    near = {n: {n} for n in range(32)}
+    for u, v in truth:
+        near[u].add(v), near[v].add(u)
+    pairs = [(u, v) for u in range(32) for v in range(32)] + [(3, 4), (3, 4)]
+    went, hops = [], labels.hops
+    monkeypatch.setattr(labels, "hops", lambda e, start, depth: went.append(depth) or hops(e, start, depth))
+    df, e = spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(truth, "u long, v long")
+    within = {n: {n} for n in near}
+    for depth in (1, 2, 3):
+        within = {n: set().union(*(near[x] for x in have)) for n, have in within.items()}
+        went.clear()
+        got = sorted(tuple(r) for r in labels.label_pairs(df, e, depth).collect())
+        assert got == sorted((u, v, int(u != v and v in within[u])) for u, v in pairs)
+        assert max(went) == (depth + 1) // 2  # rows grow with the power of the depth that is gone
