@@ -1,6 +1,7 @@
 """What steps leave on disk."""
 
 import os
+import random
 
 import numpy as np
 
@@ -61,3 +62,21 @@ def test_windows_of_passages_are_not_written(spark, monkeypatch):
     monkeypatch.setattr(passages, "stored", lambda df, tag: (tags.append(tag), real(df, tag))[1])
     assert passages.shared(rows).count() == 4
     assert tags and "passage-windows" not in tags
+
+
+def test_texts_without_secrets_are_not_dealt_out(spark, tmp_path):
+    import corpus_pipeline
+    from waygraph.llm import secrets
+
+    text = lambda i: " ".join(f"{random.Random(i * 999 + k).getrandbits(60):o}" for k in range(60))
+    rows = [(i, text(i) + (" token=Rk7Vn3Bq0Xs6Jh4P" if i == 7 else ""), "en", f"s{i % 3}", 9) for i in range(600)] + [(None, None, None, None, None), (7, "nothing", "en", "s1", 7)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    docs = spark.read.parquet(path)
+    bus, status = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+    moved = lambda: (bus.waitUntilEmpty(30_000), status.executorSummary("driver").totalShuffleWrite())[1]
+    before = moved()
+    got = corpus_pipeline.secret_stage(spark, docs, "").collect()
+    assert moved() - before < 100_000  # the texts are 700 kB
+    assert sorted(got, key=str) == sorted(secrets.redact(docs, secrets.scan(docs)).collect(), key=str)
+    assert [r["text"][-9:] for r in got if r["doc_id"] == 7 and r["n_chars"] != 7] == [" [SECRET]"]
