@@ -2,6 +2,7 @@
 
 import pytest
 
+from waygraph.operators import spatial
 from waygraph.plans import catalog, storage
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,14 @@ def test_no_graph_sized_table_is_broadcast(spark, monkeypatch, name):
     plans = [e.physicalPlanDescription() for e in (found.apply(i) for i in range(found.size())) if e.executionId() > before]
     assert plans
     assert not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_cuts_are_found_where_segments_meet(spark):
+    rows = [(1, 0, 0, 900, 900), (2, 0, 900, 900, 0), (3, 450, 0, 460, 900), (4, 900, 900, 2000, 900), (5, 0, 0, 900, 900)]
+    segments = spark.createDataFrame(rows, "id long, x1 long, y1 long, x2 long, y2 long")
+    plan = spatial.crossings(segments, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan  # a pair that meets in many cells counts in one
+    assert sorted(map(tuple, spatial.crossings(segments, 100).collect())) == [(1, 2), (1, 3), (2, 3), (2, 5), (3, 5)]
+    pieces = spatial.noded(segments, 100)
+    assert pieces._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
+    assert {r["id"]: r["count"] for r in pieces.groupBy("id").count().collect()} == {1: 3, 2: 3, 3: 3, 4: 1, 5: 3}
