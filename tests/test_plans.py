@@ -1,9 +1,15 @@
 """Tables that grow with the graph are never sent through the driver."""
 
+import math
+from collections import Counter, defaultdict
+
+import duckdb
 import pytest
 
+from waygraph.operators import routing as R
 from waygraph.operators import spatial
 from waygraph.plans import catalog, storage
+from waygraph.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
 #: Queries that failed by the driver's memory on tables 60 times as large as sf0.1.
@@ -69,3 +75,32 @@ def test_a_join_near_segments_tests_boxes_only(spark):
     join = next(x for x in near._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
     assert "/" not in join  # the exact test is not part of the join's condition
     assert sorted(map(tuple, near.collect())) == [(1, 1), (3, 1), (5, 1), (6, 2)]
+
+
+def test_every_control_point_is_matched(spark):
+    sf = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
+    nodes = duck.execute(fx.with_relations("SELECT nid, x // 1700 * 10 + y // 1700 AS g, x, y FROM fx_node")).fetchall()
+    at = {n: (x, y) for n, _, x, y in nodes}
+    cell = {n: g for n, g, _, _ in nodes}
+    near = defaultdict(set)
+    for u, v in duck.execute(fx.with_relations("SELECT u, v FROM fx_edge")).fetchall():
+        if cell[u] == cell[v]:
+            near[u].add(v)
+            near[v].add(u)
+    got = [tuple(r) for r in catalog.QUERIES["j08_match_points"](spark, sf).select("graph_id", "point", "matched").collect()]
+    to = {p: t for _, p, t in got}
+    graphs = [set(g) for g in R.parts(R.adjacency((u, v, 1.0) for u in near for v in near[u]))]
+    assert len(got) == len(to) and all(g == cell[p] for g, p, _ in got)  # each once, in its own graph
+    assert max(Counter(g for g, _, _ in got).values()) > 10
+    assert {n for n in near if len(near[n]) != 2} <= to.keys() <= near.keys()  # ends and junctions, all of them
+    assert all(own & to.keys() for own in graphs)  # and no component without one
+    used = [t for t in to.values() if t is not None]
+    assert len(used) == len(set(used))
+    off = lambda p, t: math.dist(at[p], (at[t][0] + 3, at[t][1]))
+    for p, t in to.items():
+        if t is None:  # all nodes in reach are others'
+            assert {n for n in cell if cell[n] == cell[p] and off(p, n) <= 10} <= set(used)
+        else:
+            assert cell[t] == cell[p] and off(p, t) <= 10
